@@ -227,7 +227,7 @@ def test_line_templates(spark, odd):
         if i % 2:
             lines.insert(i % 3, "Licensed under the public license version 2 of the project.")
         if i % 3 == 0:
-            lines.append(f"user {prose(5000 + i, 1)} logged in from terminal {i} with session opened today")
+            lines.append(f"session opened for user {prose(5000 + i, 1)} who logged in from terminal {i} just today")
         rows.append((i, "\n".join(lines), "s"))
     copy = "\n".join(prose(9000 + k, 12) for k in range(4))
     rows += [(100 + i, copy, "s") for i in range(30)]
@@ -238,7 +238,7 @@ def test_line_templates(spark, odd):
     assert found.columns == with_clashes(docs).columns
     got = {r.doc_id: r for r in found.collect()}
     for i, text, _ in rows:
-        expected = "\n".join(x for x in text.split("\n") if not x.startswith(("Licensed", "user ")))
+        expected = "\n".join(x for x in text.split("\n") if not x.startswith(("Licensed", "session opened")))
         assert got[i].text == expected and got[i].n_chars == len(expected)
     report = {r.doc_id: r for r in line_templates.line_report(docs).collect()}
     assert report[1].n_dropped == 1 and report[3].n_dropped == 2 and report[100].n_dropped == 0
