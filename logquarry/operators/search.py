@@ -76,18 +76,20 @@ def indexed_matches(index: Index, query: str | Node, options: SearchOptions = Se
     return matches(lines, query if options.contains else node, options)
 
 
-def ordered(found: DataFrame, query_terms: list[str], options: SearchOptions) -> DataFrame:
-    """One page of the ranked lines. With a limit this is a top-k, not a sort of everything."""
-    scored = found.withColumn("match_score", text.score(F.col("content"), query_terms, average_length()))
+def sort_keys(options: SearchOptions) -> list[Column]:
+    """A total order: the wanted key, then file and line."""
     down = options.descending if options.descending is not None else options.sort_by == "score"
     way = F.desc if down else F.asc
     if options.sort_by == "score":
-        keys = [way("match_score"), F.asc("file"), F.asc("line_no")]
-    elif options.sort_by == "timestamp":
-        keys = [way(text.line_time(F.col("content"))), F.asc("file"), F.asc("line_no")]
-    else:
-        keys = [way("file"), way("line_no")]
-    page = scored.orderBy(*keys)
+        return [way("match_score"), F.asc("file"), F.asc("line_no")]
+    if options.sort_by == "timestamp":
+        return [F.desc(text.line_time(F.col("content"))) if down else F.asc(text.line_time(F.col("content"))), F.asc("file"), F.asc("line_no")]
+    return [way("file"), way("line_no")]
+
+
+def ordered(found: DataFrame, query_terms: list[str], options: SearchOptions) -> DataFrame:
+    """One page of the ranked lines. With a limit this is a top-k, not a sort of everything."""
+    page = found.withColumn("match_score", text.score(F.col("content"), query_terms, average_length())).orderBy(*sort_keys(options))
     page = page.offset(options.offset) if options.offset else page
     return page.limit(options.limit) if options.limit is not None else page
 
@@ -119,7 +121,7 @@ def search(source: DataFrame | Index, query: str, options: SearchOptions = Searc
     page = ordered(found, wanted, options).withColumn("highlights", text.spans(F.col("content"), wanted, options.ignore_case))
     page = page.withColumn("content", F.substring("content", 1, text.FETCHED))
     if options.context:
-        page = with_context(source.lines if indexed else source, page, options.context)
+        page = with_context(source.lines if indexed else source, page, options.context).orderBy(*sort_keys(options))  # the join keeps no order
     columns = ["file", "line_no", "byte_offset", "content", "match_score", "highlights"]
     return page.select(*columns, *(["context_before", "context_after"] if options.context else []))
 
