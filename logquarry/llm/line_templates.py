@@ -46,7 +46,7 @@ def parse(line: str) -> tuple[int, int, list[str]]:
 
 def line_table(docs: DataFrame, min_tokens: int) -> DataFrame:
     """One row for each document and template in it: doc_id, template, leaf, context and the tokens' hashes (null for long lines)."""
-    kinds = pa.list_(pa.int64())
+    kinds = pa.list_(pa.int32())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, templates, leaves, contexts, tokens = [], [], [], [], []
@@ -62,11 +62,11 @@ def line_table(docs: DataFrame, min_tokens: int) -> DataFrame:
                     continue
                 ids.append(doc), templates.append(template), leaves.append(leaf)
                 contexts.append(low[1] if template == low[0] else low[0])
-                tokens.append([xxh32_intdigest(w) for w in words] if len(words) <= LONGEST else None)
+                tokens.append([xxh32_intdigest(w) - (1 << 31) for w in words] if len(words) <= LONGEST else None)
         columns = [pa.array(x, pa.int64()) for x in (ids, templates, leaves, contexts)]
         return pa.RecordBatch.from_arrays([*columns, pa.array(tokens, kinds)], ["doc_id", "template", "leaf", "context", "tokens"])
 
-    return map_batches(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id long, template long, leaf long, context long, tokens array<long>", run)
+    return map_batches(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id long, template long, leaf long, context long, tokens array<int>", run)
 
 
 def recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
@@ -80,27 +80,41 @@ def recurring_templates(lines: DataFrame, min_docs: int, similarity: float) -> D
     """Column ``template``: masked lines that recur themselves or whose generalised template does."""
     exact = recurring(lines, "template", min_docs)
     leaves = recurring(lines, "leaf", min_docs)
-    near = lines.where("tokens IS NOT NULL").join(leaves, "leaf", "left_semi").join(exact, "template", "left_anti")
-    near = near.groupBy("template", "leaf", "context").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
-    placed = near.select("template", "leaf", "context", F.size("tokens").alias("length"), F.posexplode("tokens").alias("position", "token"))
-    shared = placed.groupBy("leaf", "position", "token").agg(F.count_distinct("context").alias("support")).where(F.col("support") >= min_docs)
-    stays = placed.join(shared, ["leaf", "position", "token"]).groupBy("template", "leaf", "context", "length")
-    kept = stays.agg(F.sort_array(F.collect_list(F.struct("position", "token"))).alias("constant")).where(F.size("constant") >= F.ceil(F.col("length") * similarity))
-    general = kept.select("template", "context", F.xxhash64("leaf", "constant").alias("general"))
+    # which templates are left is settled on rows of two numbers; the tokens are shuffled once, for these alone.
+    # The templates that recur go first: they are the rows that crowd a leaf
+    held = lines.where("tokens IS NOT NULL").select("template", "leaf").distinct()
+    left = held.join(exact, "template", "left_anti").join(leaves, "leaf", "left_semi").select("template")
+    near = lines.where("tokens IS NOT NULL").select("template", "leaf", "tokens").join(left, "template", "left_semi").dropDuplicates(["template"])
+    # a token at its place in its leaf is one number, so that a row is two numbers
+    place = F.explode(F.transform("tokens", lambda token, i: F.xxhash64("leaf", i, token))).alias("place")
+    placed = near.select("template", place)
+    shared = placed.groupBy("place").agg(F.count("*").alias("support")).where(F.col("support") >= min_docs).select("place")
+    stays = placed.join(shared, "place").groupBy("template").agg(F.sort_array(F.collect_list("place")).alias("constant"))
+    kept = stays.join(lines.where("tokens IS NOT NULL").select("template", "context", F.size("tokens").alias("length")), "template")
+    general = kept.where(F.size("constant") >= F.ceil(F.col("length") * similarity)).select("template", "context", F.xxhash64("length", "constant").alias("general"))
     return exact.unionByName(general.join(recurring(general, "general", min_docs), "general", "left_semi").select("template")).distinct()
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, similarity: float = 0.7) -> DataFrame:
-    """``docs`` without lines of recurring templates; n_chars, where there is one, follows the text."""
+def drops_of(docs: DataFrame, min_docs: int, min_tokens: int, similarity: float) -> DataFrame:
+    """doc_id and the templates whose lines it loses, of the documents that lose any."""
     lines, _ = written(line_table(docs, min_tokens), "lines")
     found = recurring_templates(lines, min_docs, similarity)
-    drops = lines.join(found, "template", "left_semi").groupBy("doc_id").agg(F.collect_set("template").alias("_dropped_templates"))
-    joined = docs.join(drops, "doc_id", "left").select(*docs.columns, "_dropped_templates")
+    return lines.select("doc_id", "template").join(found, "template", "left_semi").groupBy("doc_id").agg(F.collect_set("template").alias("_dropped_templates"))
+
+
+def cleaned(batch: pa.RecordBatch) -> tuple[list[str | None], list[str | None]]:
+    """Texts before and after their dropped templates went."""
+    old = batch.column("text").to_pylist()
+    return old, [t if not d or t is None else without(t, set(d)) for t, d in zip(old, batch.column("_dropped_templates").to_pylist(), strict=True)]
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, similarity: float = 0.7) -> DataFrame:
+    """``docs`` without lines of recurring templates; n_chars, where there is one, follows the text."""
     names = docs.columns
+    joined = docs.join(drops_of(docs, min_docs, min_tokens, similarity), "doc_id", "left").select(*names, "_dropped_templates")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        drops, old = batch.column("_dropped_templates").to_pylist(), batch.column("text").to_pylist()
-        new = [t if not d or t is None else without(t, set(d)) for t, d in zip(old, drops, strict=True)]
+        old, new = cleaned(batch)
         columns = {n: batch.column(n) for n in names} | {"text": pa.array(new, pa.string())}
         if "n_chars" in columns:
             lengths = [n if a is b or b is None else len(b) for a, b, n in zip(old, new, columns["n_chars"].to_pylist(), strict=True)]
@@ -116,11 +130,14 @@ def without(text: str, templates: set[int]) -> str:
 
 def line_report(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, similarity: float = 0.7) -> DataFrame:
     """doc_id, n_lines (lines with a token), n_dropped and the text that remains, of every document."""
-    cleaned = drop_recurring_lines(docs.select("doc_id", "text", F.col("text").alias("_before")), min_docs, min_tokens, similarity)
+    docs = docs.select("doc_id", "text")
+    joined = docs.join(drops_of(docs, min_docs, min_tokens, similarity), "doc_id", "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = [[sum(1 for line in (t or "").split("\n") if line.split()) for t in batch.column(c).to_pylist()] for c in ("_before", "text")]
-        dropped = [a - b for a, b in zip(*counts, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts[0], pa.int64()), pa.array(dropped, pa.int64()), batch.column("text")], ["doc_id", "n_lines", "n_dropped", "text"])
+        old, new = cleaned(batch)
+        count = lambda t: sum(1 for line in (t or "").split("\n") if line.split())
+        lines = [count(t) for t in old]
+        dropped = [0 if a is b else n - count(b) for a, b, n in zip(old, new, lines, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(new, pa.string())], ["doc_id", "n_lines", "n_dropped", "text"])
 
-    return map_batches(cleaned, "doc_id long, n_lines long, n_dropped long, text string", run)
+    return map_batches(joined, "doc_id long, n_lines long, n_dropped long, text string", run)
