@@ -24,6 +24,8 @@ from .common import map_batches, texts
 
 #: No target exceeds so many times its source, and no document is taken more often.
 MOST = 3
+#: Sources, of about a hundred bytes each, up to which their totals are broadcast; beyond, they are joined by shuffling.
+BROADCAST_SOURCES = 50_000
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -106,7 +108,8 @@ def mix(docs: DataFrame, keep: list[str] | None = None, block: int | None = None
     planned["shards"] = np.clip(-(-planned.source_size // shard_words), 1, most_shards).astype(np.int64)
     sources = spark.createDataFrame(planned, "source_key string, source_size long, target double, blocks long, shards long")
     # hashed ids choose the shard and the order in it: reruns agree wherever the rows lie
-    rows = rows.join(sources, "source_key").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "shards"))
+    # the totals have been on the driver; of a checked number of sources they are broadcast, so that no source is one task
+    rows = rows.join(F.broadcast(sources) if len(planned) <= BROADCAST_SOURCES else sources, "source_key").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "shards"))
     shards = rows.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
 
     def quotas(part: pd.DataFrame) -> pd.DataFrame:
