@@ -28,7 +28,7 @@ from .common import map_batches, written
 
 ROLES = ("system", "user", "assistant")
 SEGMENT = 128
-RELABEL, UNKNOWN, MERGE, INSERT = 3, 1, 2, 4
+RELABEL, UNKNOWN, MERGE, INSERT = 5, 1, 2, 4
 #: States: at the start, after a system, user, assistant turn. State s > 0 is that of role ROLES[s - 1].
 STATES, NEVER = 4, 1 << 40
 #: (state, label) -> empty turns to insert before the turn.
