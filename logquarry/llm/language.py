@@ -29,7 +29,15 @@ from .html_text import host_of, read_page
 BUCKETS, MILLION = 1 << 16, 1_000_000
 #: Trigrams that count as one independent observation, and the most that a text can count for.
 PER_OBSERVATION, MOST_OBSERVATIONS = 8.0, 200.0
-_DECLARED = re.compile(r"""<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?([a-zA-Z]+)""", re.I)
+_HTML = re.compile(r"<html\b[^>]*", re.I)
+_LANG = re.compile(r"""\s(?:xml:)?lang\s*=\s*["']?([a-zA-Z]+)""", re.I)
+
+
+def declared_language(page: str) -> str:
+    """What the page's html element declares, in lower case; empty where it declares nothing."""
+    element = _HTML.search(page)
+    found = _LANG.search(element[0]) if element else None
+    return found[1].lower() if found else ""
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -82,8 +90,7 @@ def evidence(pages: DataFrame, languages: list[str], table: np.ndarray) -> DataF
         log = np.array([text_log_likelihood(" ".join(t for _, t in read_page(p)), table) for p in html]).reshape(len(html), len(languages))
         own = np.rint(posterior(log) * MILLION).astype(np.int64) if len(html) else log.astype(np.int64)
         hosts = [host_of(u) for u in urls]
-        declared = [m[1].lower() if (m := _DECLARED.search(p[:4096])) else "" for p in html]
-        declared = [d if d in languages else "(other)" if d else "" for d in declared]
+        declared = [d if d in languages else "(other)" if d else "" for d in map(declared_language, html)]
         columns = [
             batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(hosts, pa.string()), pa.array([".".join(h.split(".")[-2:]) for h in hosts], pa.string()),
             pa.array([h.rpartition(".")[2] for h in hosts], pa.string()), pa.array(declared, pa.string()), pa.array(log.tolist(), pa.list_(pa.float64())), pa.array(own.tolist(), pa.list_(pa.int64())),

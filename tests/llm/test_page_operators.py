@@ -163,6 +163,12 @@ def test_language_of_held_out_pages(spark):
     assert all(again[r.page_id] == r for r in found)
 
 
+def test_declared_language_wherever_the_element_is():
+    assert language.declared_language("<!-- " + "x" * 9000 + " --><HTML class='a' xml:lang=\"FR-ca\">") == "fr"
+    assert language.declared_language("<html><p lang=de>") == "" == language.declared_language("") == language.declared_language("<p>no element")
+    assert language.declared_language("<html " * 20000) == ""
+
+
 def test_language_evidence_decides_short_texts(spark):
     train = spark.createDataFrame([(i, "the cat and the dog of the house " * 3, "en") for i in range(20)] + [(50 + i, "le chat et le chien de la maison " * 3, "fr") for i in range(20)], "doc_id long, text string, lang string")
     html = "<html lang='{}'><p>{}"
