@@ -5,7 +5,7 @@ the MD5 of the samples, a SEEKTABLE with a point for each frame, and frames whos
 verbatim, a fixed predictor of order 0 to 4 or a quantised linear predictor, with partitioned Rice codes.
 The decoder reads any stream of that kind. It checks each frame's header CRC-8 and frame CRC-16, walks the
 Rice codes of all frames of a batch in lockstep (a table of the next set bit turns a unary code into one
-lookup), restores fixed predictors by running sums and linear ones in lockstep, and checks the MD5.
+lookup; escaped partitions hold plain numbers), restores fixed predictors by running sums and linear ones in lockstep, and checks the MD5.
 
 Defined results: a null text counts as the empty text; texts of any length are stored whole; equal texts
 give equal streams whatever else is in their batch; repeated rows get equal results; an empty table gives
@@ -406,7 +406,8 @@ def decode_frames(data: np.ndarray, frames: list[Frame]) -> list[np.ndarray]:
         own = lanes[(partition == n) & (order == o)]
         for step in {max(o, k) for k in range(0, widest, n)}:
             first_step.setdefault(step, []).append(own)
-    parameter = np.zeros(len(coded), np.int64)
+    parameter, raw_width = np.zeros(len(coded), np.int64), np.full(len(coded), -1)
+    escaped: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []  # lanes, step, first bit and width of residuals kept as they are
     active = np.searchsorted(-size, -np.arange(widest), side="left")  # lanes are sorted by size: so many reach a step
     at = at.astype(np.int64)
     started = int(order.max(initial=0))
@@ -414,10 +415,14 @@ def decode_frames(data: np.ndarray, frames: list[Frame]) -> list[np.ndarray]:
         m = int(active[step])
         for own in first_step.get(step, ()):
             own = own[own < m]
-            parameter[own] = take(at[own], 4)
-            if (parameter[own] == 15).any():
-                raise ValueError("escaped partitions are not supported")
+            parameter[own], raw_width[own] = take(at[own], 4), -1
             at[own] += 4
+            escapes = own[parameter[own] == 15]
+            if len(escapes):
+                raw_width[escapes], parameter[escapes] = take(at[escapes], 5), 0
+                at[escapes] += 5
+        raw = np.flatnonzero((raw_width[:m] >= 0) & (order[:m] <= step)) if (raw_width[:m] >= 0).any() else lanes[:0]
+        first = at[raw]
         if step < started:
             use = lanes[:m][order[:m] <= step]
             begin[use, step], end = at[use], following[at[use]]
@@ -428,6 +433,9 @@ def decode_frames(data: np.ndarray, frames: list[Frame]) -> list[np.ndarray]:
             end = following[at[:m]]
             end_of_unary[:m, step], rice[:m, step] = end, parameter[:m]
             at[:m] = end + 1 + parameter[:m]
+        if len(raw):
+            end_of_unary[raw, step], at[raw] = first, first + raw_width[raw]
+            escaped.append((raw, step, first, raw_width[raw]))
     folded = end_of_unary - begin
     position = end_of_unary + 1  # at most 14 low bits: they lie in three bytes
     byte = position >> 3
@@ -435,6 +443,10 @@ def decode_frames(data: np.ndarray, frames: list[Frame]) -> list[np.ndarray]:
     low = three >> (24 - (position & 7) - rice) & (1 << rice) - 1
     folded = folded << rice | low
     residual = folded >> 1 ^ -(folded & 1)
+    for raw, step, first, width in escaped:
+        for w in np.unique(width[width > 0]):
+            own = width == w
+            residual[raw[own], step] = signed(take(first[own], int(w)), int(w))
     for o in np.unique(order[kind < 32]):
         own = np.flatnonzero((kind < 32) & (order == o))
         warm, y = x[own, :o], residual[own]

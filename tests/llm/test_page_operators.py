@@ -63,6 +63,35 @@ def test_flac_finds_damage_and_needs_no_seek_table():
         assert flac.read_header(head + b"\0", 0) == (number, flac.BLOCK, len(head))
 
 
+def handmade_stream(samples, halves):
+    """A stream of one frame, fixed predictor of order 1, two partitions: ("raw", width) or ("rice", parameter) each."""
+    x = np.array(samples)
+    residual, value, width = np.diff(x), [(8 + 1) << 1, int(x[0]) & 0xFF, 1], [8, 8, 6]
+    for (kind, n), part in zip(halves, (residual[: len(x) // 2 - 1], residual[len(x) // 2 - 1 :]), strict=True):
+        value, width = value + ([15, n] if kind == "raw" else [n]), width + ([4, 5] if kind == "raw" else [4])
+        for r in part.tolist():
+            u = -2 * r - 1 if r < 0 else 2 * r
+            value.append(r & (1 << n) - 1 if kind == "raw" else 1 << n | u & (1 << n) - 1)
+            width.append(n if kind == "raw" else (u >> n) + 1 + n)
+    body, _ = flac.pack(flac.Fields(np.array([value]), np.array([width])))
+    head = flac.frame_header(0, len(x))
+    own = lambda f, b: int(f(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+    frame = head + bytes([own(flac.crc8, head)]) + body.tobytes()
+    return flac.stream((x + 128).astype(np.uint8).tobytes(), [frame + own(flac.crc16, frame).to_bytes(2, "big")])
+
+
+def test_flac_reads_escaped_partitions():
+    rng = np.random.default_rng(3)
+    wild, flat = rng.integers(-128, 128, 64), np.full(64, 7)
+    calm = np.cumsum(rng.integers(-2, 3, 64))
+    cases = [(wild, [("raw", 9), ("raw", 12)]), (calm, [("raw", 3), ("rice", 1)]), (calm, [("rice", 0), ("raw", 31)]), (flat, [("raw", 0), ("rice", 2)]), (flat, [("raw", 1), ("raw", 0)])]
+    media = [handmade_stream(x, halves) for x, halves in cases] + flac.encode_payloads([flac.payload("in the same batch " * 300)])
+    decoded = flac.decode_media(media)
+    for (x, _), blocks in zip(cases, decoded[:-1], strict=True):
+        assert pcm_of(blocks) == (x + 128).astype(np.uint8).tobytes()
+    assert pcm_of(decoded[-1]) == flac.payload("in the same batch " * 300)
+
+
 def test_crc_by_distance():
     def slow(data, poly, bits):
         crc = 0
