@@ -173,8 +173,22 @@ def test_host_boilerplate_goes_and_unique_runs_stay(spark, monkeypatch):
     assert "privacy policy" in found[10].text  # on one page of its host
     assert found[11].text == "" and found[None].text == "" and found[14].text == long_ and found[12].text == found[0].text
     assert html_text.main_text(pages).count() == len(rows) and html_text.main_text(pages.limit(0)).count() == 0
-    monkeypatch.setattr(html_text, "PAGES", 2)  # shards of a large host
-    assert html_text.main_text(pages).count() == len(rows)
+    expected = sorted((r.page_id or 0, r.text, r.n_chars, r.n_removed) for r in html_text.main_text(pages).collect())
+    monkeypatch.setattr(html_text, "PAGES", 2)  # h.org is large now, and has open pages: its suffixes are dealt
+    assert sorted((r.page_id or 0, r.text, r.n_chars, r.n_removed) for r in html_text.main_text(pages).collect()) == expected
+    articles = pages.where("html LIKE '%<article>%'").unionAll(pages.where("html LIKE '%<article>%'")).unionAll(pages.where("html LIKE '%<article>%'"))
+    assert [r.text for r in html_text.main_text(articles).collect()] == [found[13].text] * 3  # shards of a large host
+
+
+def test_a_run_on_two_pages_of_a_large_host_is_seen(spark, monkeypatch):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(9))
+    shared = [" ".join(word() for _ in range(10)) for _ in range(20)]  # each on two pages alone
+    rows = [(i, f"http://h.org/{i}", f"<p>{' '.join(word() for _ in range(30))}</p><p>{shared[i // 2]}</p>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(html_text, "PAGES", 4)
+    found = {x.page_id: x for x in html_text.main_text(pages).collect()}
+    assert all(found[i].n_removed == 10 and shared[i // 2] not in found[i].text and len(found[i].text.split()) == 30 for i in range(40))
 
 
 def test_language_of_held_out_pages(spark):
