@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts, written
+from .common import map_batches, remove, texts, written
 from .html_text import host_of, read_page
 
 BUCKETS, MILLION = 1 << 16, 1_000_000
 #: Trigrams that count as one independent observation, and the most that a text can count for.
 PER_OBSERVATION, MOST_OBSERVATIONS = 8.0, 200.0
+#: Times the sample's rows that are to pass the hash cutoff.
+SPARE = 4
 _HTML = re.compile(r"<html\b[^>]*", re.I)
 _LANG = re.compile(r"""\s(?:xml:)?lang\s*=\s*["']?([a-zA-Z]+)""", re.I)
 
@@ -48,9 +50,29 @@ def trigrams(text: str) -> np.ndarray:
     return (((raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
+def labelled_sample(documents: DataFrame, fit_rows: int, seed: int) -> DataFrame:
+    """The ``fit_rows`` labelled rows (all, if there are fewer) with the least seeded hashes of their ids.
+
+    A cutoff that about SPARE times as many rows pass is applied first, so that the task which orders the texts gets
+    so many whatever the number of partitions. Should too few pass, as when ids repeat, all rows are ordered.
+    """
+    labelled = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", "doc_id")
+    chance = F.xxhash64("doc_id", F.lit(seed))
+    least = lambda rows: rows.orderBy(chance, "doc_id", "lang", F.md5("text")).limit(fit_rows)
+    total = documents.where("lang IS NOT NULL").count()
+    if total <= SPARE * fit_rows:
+        return least(labelled)
+    cutoff = SPARE * fit_rows * (1 << 64) // total - (1 << 63)
+    sample, path = written(least(labelled.where(chance < cutoff)), "sample")
+    if sample.count() == fit_rows:
+        return sample
+    remove(documents.sparkSession, path)
+    return least(labelled)
+
+
 def fit(documents: DataFrame, fit_rows: int = 4000, seed: int = 42) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order and log likelihoods [bucket, language], from at most ``fit_rows`` labelled documents."""
-    sample = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "lang", F.md5("text"))
+    sample = labelled_sample(documents, fit_rows, seed)
     langs: dict[str, np.ndarray] = {}
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:  # texts become sparse counts on the executors
@@ -58,7 +80,7 @@ def fit(documents: DataFrame, fit_rows: int = 4000, seed: int = 42) -> tuple[lis
         columns = [batch.column("lang"), pa.array([b.tolist() for b, _ in found], pa.list_(pa.int32())), pa.array([n.tolist() for _, n in found], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, ["lang", "buckets", "counts"])
 
-    counted = map_batches(sample.limit(fit_rows), "lang string, buckets array<int>, counts array<long>", count)
+    counted = map_batches(sample, "lang string, buckets array<int>, counts array<long>", count)
     pairs = counted.select("lang", F.explode(F.arrays_zip("buckets", "counts")).alias("c")).groupBy("lang", "c.buckets").agg(F.sum("c.counts").alias("n"))
     for row in pairs.collect():  # at most BUCKETS rows for each language of the sample
         langs.setdefault(row.lang, np.zeros(BUCKETS))[row.buckets] = row.n

@@ -212,6 +212,20 @@ def test_declared_language_wherever_the_element_is():
     assert language.declared_language("<html " * 20000) == ""
 
 
+def test_language_sample_is_that_of_least_hashes(spark):
+    rows = [(i, f"text {i}", "en" if i % 3 else "fr") for i in range(600)] + [(None, "x", "en"), (601, None, "en"), (602, "x", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = F.xxhash64("doc_id", F.lit(42))
+    want = {r.doc_id for r in table.where("lang IS NOT NULL AND text IS NOT NULL").orderBy(own).limit(50).collect()}
+    assert {r.doc_id for r in language.labelled_sample(table, 50, 42).collect()} == want  # beyond the cutoff
+    assert language.labelled_sample(table, 1000, 42).count() == 601  # fewer than wanted
+    same = spark.createDataFrame([(7, f"text {i}", "en") for i in range(600)], "doc_id long, text string, lang string")
+    assert language.labelled_sample(same, 50, 42).count() == 50  # ids that repeat
+    nulls = spark.createDataFrame([(i, None if i % 50 else "x", "en") for i in range(600)], "doc_id long, text string, lang string")
+    assert language.labelled_sample(nulls, 50, 42).count() == 12  # few texts
+    assert language.labelled_sample(table.limit(0), 50, 42).count() == 0
+
+
 def test_language_evidence_decides_short_texts(spark):
     train = spark.createDataFrame([(i, "the cat and the dog of the house " * 3, "en") for i in range(20)] + [(50 + i, "le chat et le chien de la maison " * 3, "fr") for i in range(20)], "doc_id long, text string, lang string")
     html = "<html lang='{}'><p>{}"
