@@ -3,9 +3,9 @@
 A line's tokens that hold a digit are variable fields. The tree has a fixed depth: a line goes to the
 leaf of its token count and its first ``DEPTH`` tokens. In a leaf, tokens that enough lines share at
 their position stay and the others are generalised too, provided that enough of the tokens stay; the
-result is the line's template. A template recurs if ``min_docs`` documents or more hold it and these are
-not copies of one another: each document's least other line hash is its context, and at least half of
-the documents, and min_docs of them, must differ in it. Copies of documents are for document dedup.
+result is the line's template. A template recurs if documents of ``min_docs`` groups or more hold it. A
+document's context is its group of near copies (``near_copies``: five-word Jaccard of 0.8 or more, directly or
+over others), which other lines that recur beside it do not change. Copies of documents are for document dedup.
 
 Lines of over LONGEST tokens are compared by their masked tokens alone. Nothing else is bounded: counts
 cover all documents, and templates meet by grouped aggregation, so no leaf is ever in one task.
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest, xxh64_intdigest
 
+from . import near_copies
 from .common import map_batches, written
 
 DEPTH, LONGEST, FIELD = 3, 64, "<*>"
@@ -45,28 +46,34 @@ def parse(line: str) -> tuple[int, int, list[str]]:
 
 
 def line_table(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """One row for each document and template in it: doc_id, template, leaf, context and the tokens' hashes (null for long lines)."""
+    """One row for each document and template in it: doc_id, template, leaf, node (the text's identity) and the tokens' hashes (null for long lines)."""
     kinds = pa.list_(pa.int32())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, templates, leaves, contexts, tokens = [], [], [], [], []
+        ids, templates, leaves, nodes, tokens = [], [], [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            found = {}
+            found, node = {}, near_copies.node_of(near_copies.words_of(text or ""))
             for line in (text or "").split("\n"):
                 template, leaf, words = parse(line)
                 if words:
                     found[template] = (leaf, words)
-            low = sorted(found)[:2] + [0, 0]
             for template, (leaf, words) in found.items():
                 if len(words) < min_tokens:
                     continue
-                ids.append(doc), templates.append(template), leaves.append(leaf)
-                contexts.append(low[1] if template == low[0] else low[0])
+                ids.append(doc), templates.append(template), leaves.append(leaf), nodes.append(node)
                 tokens.append([xxh32_intdigest(w) - (1 << 31) for w in words] if len(words) <= LONGEST else None)
-        columns = [pa.array(x, pa.int64()) for x in (ids, templates, leaves, contexts)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(tokens, kinds)], ["doc_id", "template", "leaf", "context", "tokens"])
+        columns = [pa.array(x, pa.int64()) for x in (ids, templates, leaves, nodes)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(tokens, kinds)], ["doc_id", "template", "leaf", "node", "tokens"])
 
-    return map_batches(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id long, template long, leaf long, context long, tokens array<int>", run)
+    return map_batches(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id long, template long, leaf long, node long, tokens array<int>", run)
+
+
+def with_contexts(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """``lines`` with the group of near copies that a line's document is in as context in place of node."""
+    rows, _ = written(near_copies.keyed(docs), "keyed")
+    copies, _ = written(near_copies.linked_nodes(rows, docs), "copies")
+    of = lines.join(near_copies.small(copies), "node", "left")
+    return of.select("doc_id", "template", "leaf", F.coalesce("root", "node").alias("context"), "tokens")
 
 
 def recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
@@ -97,7 +104,7 @@ def recurring_templates(lines: DataFrame, min_docs: int, similarity: float) -> D
 
 def drops_of(docs: DataFrame, min_docs: int, min_tokens: int, similarity: float) -> DataFrame:
     """doc_id and the templates whose lines it loses, of the documents that lose any."""
-    lines, _ = written(line_table(docs, min_tokens), "lines")
+    lines, _ = written(with_contexts(line_table(docs, min_tokens), docs), "lines")
     found = recurring_templates(lines, min_docs, similarity)
     return lines.select("doc_id", "template").join(found, "template", "left_semi").groupBy("doc_id").agg(F.collect_set("template").alias("_dropped_templates"))
 
