@@ -77,10 +77,8 @@ def with_contexts(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """The values of ``key`` that recur across documents which are not copies of one another."""
-    once = lines.groupBy(key, "context").agg(F.count("*").alias("n"))
-    counts = once.groupBy(key).agg(F.count("*").alias("contexts"), F.sum("n").alias("docs"))
-    return counts.where((F.col("contexts") >= min_docs) & (F.col("contexts") * 2 >= F.col("docs"))).select(key)
+    """The values of ``key`` that recur across documents which are not copies of one another: a group of copies counts once."""
+    return lines.select(key, "context").distinct().groupBy(key).count().where(F.col("count") >= min_docs).select(key)
 
 
 def recurring_templates(lines: DataFrame, min_docs: int, similarity: float) -> DataFrame:

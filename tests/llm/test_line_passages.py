@@ -20,3 +20,11 @@ def test_lines_of_one_passage_go_together(spark):
     own = {i: [line(r, 12) for _ in range(4)] for i in range(60)}
     found = cleaned(spark, {i: "\n".join(x + passage) for i, x in own.items()})
     assert found == {i: "\n".join(x) for i, x in own.items()}
+
+
+def test_copies_count_once_and_do_not_protect_a_line(spark):
+    r = random.Random(2)
+    passage = line(r, 9)
+    own = {i: "\n".join(line(r, 12) for _ in range(4)) for i in range(20)}
+    own |= {100 + i: own[0] for i in range(60)}
+    assert cleaned(spark, {i: f"{x}\n{passage}" for i, x in own.items()}) == own
