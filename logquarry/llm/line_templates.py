@@ -1,9 +1,9 @@
 """Line dedup by a log-template tree: lines whose template recurs across documents are dropped.
 
 A line's tokens that hold a digit are variable fields. The tree has a fixed depth: a line goes to the
-leaf of its token count and its first ``DEPTH`` tokens. In a leaf, tokens that enough lines share at
+leaf of its token count and its first ``DEPTH`` tokens. In a leaf, tokens that enough contexts share at
 their position stay and the others are generalised too, provided that enough of the tokens stay; the
-result is the line's template. A template recurs if documents of ``min_docs`` groups or more hold it. A
+result is the line's template, which other lines of the leaf have too that recur as they are. A template recurs if documents of ``min_docs`` groups or more hold it. A
 document's context is its group of near copies (``near_copies``: five-word Jaccard of 0.8 or more, directly or
 over others), which other lines that recur beside it do not change. Copies of documents are for document dedup.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest, xxh64_intdigest
 
@@ -81,23 +81,36 @@ def recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
     return lines.select(key, "context").distinct().groupBy(key).count().where(F.col("count") >= min_docs).select(key)
 
 
+def places() -> Column:
+    """A token at its place in its leaf as one number."""
+    return F.transform("tokens", lambda token, i: F.xxhash64("leaf", i, token))
+
+
 def recurring_templates(lines: DataFrame, min_docs: int, similarity: float) -> DataFrame:
     """Column ``template``: masked lines that recur themselves or whose generalised template does."""
     exact = recurring(lines, "template", min_docs)
     leaves = recurring(lines, "leaf", min_docs)
-    # which templates are left is settled on rows of two numbers; the tokens are shuffled once, for these alone.
-    # The templates that recur go first: they are the rows that crowd a leaf
+    # which templates are left is settled on rows of two numbers; the tokens are shuffled once, for these alone
     held = lines.where("tokens IS NOT NULL").select("template", "leaf").distinct()
-    left = held.join(exact, "template", "left_anti").join(leaves, "leaf", "left_semi").select("template")
-    near = lines.where("tokens IS NOT NULL").select("template", "leaf", "tokens").join(left, "template", "left_semi").dropDuplicates(["template"])
-    # a token at its place in its leaf is one number, so that a row is two numbers
-    place = F.explode(F.transform("tokens", lambda token, i: F.xxhash64("leaf", i, token))).alias("place")
-    placed = near.select("template", place)
-    shared = placed.groupBy("place").agg(F.count("*").alias("support")).where(F.col("support") >= min_docs).select("place")
+    left = held.join(exact, "template", "left_anti").join(leaves, "leaf", "left_semi")
+    # a template that recurs supports its places by itself, so one row of it is enough
+    known = held.join(exact, "template", "left_semi").join(left.select("leaf").distinct(), "leaf", "left_semi")
+    tokens = lines.where("tokens IS NOT NULL").select("template", "leaf", "tokens")
+    variants = tokens.join(left.select("template"), "template", "left_semi").dropDuplicates(["template"]).select("template", "leaf", places().alias("places"))
+    models = tokens.join(known.select("template"), "template", "left_semi").dropDuplicates(["template"]).select("leaf", places().alias("places"))
+    contexts = lines.where("tokens IS NOT NULL").select("template", "context").join(left.select("template"), "template", "left_semi").distinct()
+    # a place's support is the number of contexts that hold it, over all templates
+    placed = variants.select("template", F.explode("places").alias("place"))
+    counted = variants.join(contexts, "template").select("context", F.explode("places").alias("place")).distinct().groupBy("place").count()
+    shared = counted.where(F.col("count") >= min_docs).select("place").unionByName(models.select(F.explode("places").alias("place"))).distinct()
     stays = placed.join(shared, "place").groupBy("template").agg(F.sort_array(F.collect_list("place")).alias("constant"))
-    kept = stays.join(lines.where("tokens IS NOT NULL").select("template", "context", F.size("tokens").alias("length")), "template")
-    general = kept.where(F.size("constant") >= F.ceil(F.col("length") * similarity)).select("template", "context", F.xxhash64("length", "constant").alias("general"))
-    return exact.unionByName(general.join(recurring(general, "general", min_docs), "general", "left_semi").select("template")).distinct()
+    kept = stays.join(variants.select("template", "leaf", F.size("places").alias("length")), "template")
+    general, _ = written(kept.where(F.size("constant") >= F.ceil(F.col("length") * similarity)).select("template", "leaf", "constant", F.xxhash64("length", "constant").alias("general")), "general")
+    many = recurring(general.select("template", "general").join(contexts, "template"), "general", min_docs)
+    # a generalised template that a recurring line has too recurs
+    forms = general.select("leaf", "general", "constant").dropDuplicates(["general"]).join(many, "general", "left_anti")
+    fits = forms.join(models, "leaf").where(F.size(F.array_except("constant", "places")) == 0).select("general")
+    return exact.unionByName(general.join(many.unionByName(fits).distinct(), "general", "left_semi").select("template")).distinct()
 
 
 def drops_of(docs: DataFrame, min_docs: int, min_tokens: int, similarity: float) -> DataFrame:

@@ -28,3 +28,16 @@ def test_copies_count_once_and_do_not_protect_a_line(spark):
     own = {i: "\n".join(line(r, 12) for _ in range(4)) for i in range(20)}
     own |= {100 + i: own[0] for i in range(60)}
     assert cleaned(spark, {i: f"{x}\n{passage}" for i, x in own.items()}) == own
+
+
+def test_few_variants_in_many_documents_are_generalised(spark):
+    r = random.Random(3)
+    own = {i: "\n".join(line(r, 12) for _ in range(4)) for i in range(65)}
+    few = "session opened for user {} who logged in from the terminal just today"
+    rare = "the mirror at {} keeps a copy of this page for all of its readers"
+    names = [line(r, 1) for _ in range(9)]
+    texts = {i: own[i] + "\n" + few.format(names[i % 5]) for i in range(25)}  # 5 variants, 5 documents each
+    texts |= {i: own[i] + "\n" + rare.format(names[0]) for i in range(25, 55)}  # recurs as it is
+    texts |= {i: own[i] + "\n" + rare.format(names[1 + i % 2]) for i in range(55, 60)}  # variants of it in 5 documents
+    texts |= {i: own[i] + "\n" + f"{names[i % 5]} of them is a line that only five documents have" for i in range(60, 65)}
+    assert cleaned(spark, texts) == {i: own[i] if i < 60 else t for i, t in texts.items()}
