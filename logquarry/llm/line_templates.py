@@ -7,8 +7,8 @@ result is the line's template, which other lines of the leaf have too that recur
 document's context is its group of near copies (``near_copies``: five-word Jaccard of 0.8 or more, directly or
 over others), which other lines that recur beside it do not change. Copies of documents are for document dedup.
 
-Lines of over LONGEST tokens are compared by their masked tokens alone. Nothing else is bounded: counts
-cover all documents, and templates meet by grouped aggregation, so no leaf is ever in one task.
+Nothing is bounded: lines of any length are generalised, counts cover all documents, and templates meet by
+grouped aggregation, so no leaf is ever in one task.
 
 Defined results: a null text stays null and an empty one empty; a document whose lines all go becomes
 empty but stays; lines of fewer than ``min_tokens`` tokens stay; rows without a doc_id stay as they are and
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from xxhash import xxh32_intdigest, xxh64_intdigest
 from . import near_copies
 from .common import map_batches, written
 
-DEPTH, LONGEST, FIELD = 3, 64, "<*>"
+DEPTH, FIELD = 3, "<*>"
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -46,11 +47,11 @@ def parse(line: str) -> tuple[int, int, list[str]]:
 
 
 def line_table(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """One row for each document and template in it: doc_id, template, leaf, node (the text's identity) and the tokens' hashes (null for long lines)."""
-    kinds = pa.list_(pa.int32())
+    """One row for each document and template in it: doc_id, template, leaf, node (the text's identity) and the tokens' hashes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, templates, leaves, nodes, tokens = [], [], [], [], []
+        ids, templates, leaves, nodes, tokens, ends = [], [], [], [], [], [0]
+        known: dict[str, int] = {}
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             found, node = {}, near_copies.node_of(near_copies.words_of(text or ""))
             for line in (text or "").split("\n"):
@@ -61,9 +62,14 @@ def line_table(docs: DataFrame, min_tokens: int) -> DataFrame:
                 if len(words) < min_tokens:
                     continue
                 ids.append(doc), templates.append(template), leaves.append(leaf), nodes.append(node)
-                tokens.append([xxh32_intdigest(w) - (1 << 31) for w in words] if len(words) <= LONGEST else None)
+                for w in words:
+                    if w not in known:
+                        known[w] = xxh32_intdigest(w) - (1 << 31)
+                tokens.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                ends.append(ends[-1] + len(words))
+        flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int32))
         columns = [pa.array(x, pa.int64()) for x in (ids, templates, leaves, nodes)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(tokens, kinds)], ["doc_id", "template", "leaf", "node", "tokens"])
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "template", "leaf", "node", "tokens"])
 
     return map_batches(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id long, template long, leaf long, node long, tokens array<int>", run)
 
@@ -91,14 +97,14 @@ def recurring_templates(lines: DataFrame, min_docs: int, similarity: float) -> D
     exact = recurring(lines, "template", min_docs)
     leaves = recurring(lines, "leaf", min_docs)
     # which templates are left is settled on rows of two numbers; the tokens are shuffled once, for these alone
-    held = lines.where("tokens IS NOT NULL").select("template", "leaf").distinct()
+    held = lines.select("template", "leaf").distinct()
     left = held.join(exact, "template", "left_anti").join(leaves, "leaf", "left_semi")
     # a template that recurs supports its places by itself, so one row of it is enough
     known = held.join(exact, "template", "left_semi").join(left.select("leaf").distinct(), "leaf", "left_semi")
-    tokens = lines.where("tokens IS NOT NULL").select("template", "leaf", "tokens")
+    tokens = lines.select("template", "leaf", "tokens")
     variants = tokens.join(left.select("template"), "template", "left_semi").dropDuplicates(["template"]).select("template", "leaf", places().alias("places"))
     models = tokens.join(known.select("template"), "template", "left_semi").dropDuplicates(["template"]).select("leaf", places().alias("places"))
-    contexts = lines.where("tokens IS NOT NULL").select("template", "context").join(left.select("template"), "template", "left_semi").distinct()
+    contexts = lines.select("template", "context").join(left.select("template"), "template", "left_semi").distinct()
     # a place's support is the number of contexts that hold it, over all templates
     placed = variants.select("template", F.explode("places").alias("place"))
     counted = variants.join(contexts, "template").select("context", F.explode("places").alias("place")).distinct().groupBy("place").count()

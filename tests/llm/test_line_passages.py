@@ -41,3 +41,10 @@ def test_few_variants_in_many_documents_are_generalised(spark):
     texts |= {i: own[i] + "\n" + rare.format(names[1 + i % 2]) for i in range(55, 60)}  # variants of it in 5 documents
     texts |= {i: own[i] + "\n" + f"{names[i % 5]} of them is a line that only five documents have" for i in range(60, 65)}
     assert cleaned(spark, texts) == {i: own[i] if i < 60 else t for i, t in texts.items()}
+
+
+def test_long_lines_are_generalised(spark):
+    r = random.Random(4)
+    own = {i: "\n".join(line(r, 60) for _ in range(4)) for i in range(20)}
+    before, after = line(r, 40), line(r, 59)
+    assert cleaned(spark, {i: f"{x}\n{before} {line(r, 1)}x {after}" for i, x in own.items()}) == own
