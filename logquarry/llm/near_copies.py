@@ -13,6 +13,7 @@ MEMBERS meet in pairs of blocks. Tasks return spanning trees of links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +31,40 @@ OVER, UNDER = 4, 5
 MEMBERS = 1024
 #: Rows of one or two numbers up to which a table is broadcast; beyond, it is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
-_NUMBERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS + WIDTH + ROWS + BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MINIMA, _WORDS, _KEYS, _BAND = np.split(_NUMBERS, [BANDS * ROWS, BANDS * ROWS + WIDTH, BANDS * ROWS + WIDTH + ROWS])
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
-
-
-def node_of(words: list[bytes]) -> int:
-    """The text's identity: equal for texts with the same words."""
-    x = xxh64_intdigest(b" ".join(words), SEED)
-    return x - (1 << 64) if x >> 63 else x
+#: Bytes and shingles that are hashed at once; a longer text goes by itself.
+BYTES, SHINGLES = 1 << 18, 1 << 16
+_NUMBERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS + WIDTH + ROWS + BANDS + 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MINIMA, _WORDS, _KEYS, _BAND, _BYTE = np.split(_NUMBERS, np.cumsum([BANDS * ROWS, WIDTH, ROWS, BANDS]))
+_MINIMA = (_MINIMA >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+@lru_cache(2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of an odd number and of its inverse, modulo 2**64."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word, all words at once: polynomials over the bytes, from running sums."""
+    raw = np.frombuffer(data.lower(), np.uint8)
+    edge = np.diff(np.r_[np.int8(1), _SPACE[raw].astype(np.int8), np.int8(1)])
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        first = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, first + BYTES, "right")))
+        n = int(ends[to - 1] - first)
+        up, down = powers(max(BYTES, 1 << (n - 1).bit_length()))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[raw[first : first + n]] * up[:n], out=total[1:])
+        a, b = starts[at:to] - first, ends[at:to] - first
+        out[at:to] = (total[b] - total[a]) * down[a]
+        at = to
+    return mixed(out), starts
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,39 +72,60 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Hashes of the text's shingles, repeated ones included; known: hashes of words met before."""
-    if len(words) < WIDTH:
-        return np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    for w in words:
-        if w not in known:
-            known[w] = xxh64_intdigest(w, SEED)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = len(words) - WIDTH + 1
-    total = hashes[:n] * _WORDS[0]
-    for k in range(1, WIDTH):
-        total += hashes[k : k + n] * _WORDS[k]
-    return mixed(total)
-
-
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """The BANDS keys of a text with these shingles."""
-    least = np.full(len(_MINIMA), np.iinfo(np.uint64).max)
-    for at in range(0, len(found), 1024):
-        np.minimum(least, np.multiply.outer(_MINIMA, found[at : at + 1024]).min(1), out=least)
-    return mixed((mixed(least).reshape(BANDS, ROWS) * _KEYS).sum(1, dtype=np.uint64) + _BAND).view(np.int64)
+def sequence_hash(words: np.ndarray) -> int:
+    return xxh64_intdigest(words.tobytes(), SEED)
+
+
+def shingles(batch: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each text its identity (equal for texts with the same words) and the hashes of its shingles, repeated ones included."""
+    nodes, found, at = np.zeros(len(batch), np.uint64), [], 0
+    while at < len(batch):
+        parts, size = [], 0
+        while at + len(parts) < len(batch) and (not parts or size < BYTES):
+            parts.append(batch[at + len(parts)].encode())
+            size += len(parts[-1]) + 1
+        words, starts = word_hashes(b"\n".join(parts))
+        cuts = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)])).tolist()
+        n = max(0, len(words) - WIDTH + 1)
+        total = np.zeros(n, np.uint64)
+        for k in range(WIDTH if n else 0):
+            total += words[k : k + n] * _WORDS[k]
+        total = mixed(total)
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            nodes[at + i] = sequence_hash(words[a:b])
+            found.append(total[a : b - WIDTH + 1] if b - a >= WIDTH else nodes[at + i : at + i + 1])
+        at += len(parts)
+    return nodes.view(np.int64), found
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """The BANDS keys of each text with these shingles; the upper half of a shingle's hash is ranked."""
+    least, at = np.zeros((len(sets), BANDS * ROWS), np.uint32), 0
+    while at < len(sets):
+        to, size = at, 0
+        while to < len(sets) and (to == at or size + len(sets[to]) <= SHINGLES):
+            size += len(sets[to])
+            to += 1
+        half = (np.concatenate(sets[at:to]) >> np.uint64(32)).astype(np.uint32)
+        starts = np.cumsum([0, *map(len, sets[at : to - 1])])
+        ranked = np.empty_like(half)
+        for k, by in enumerate(_MINIMA):
+            np.multiply(half, by, out=ranked)
+            least[at:to, k] = np.minimum.reduceat(ranked, starts)
+        at = to
+    return mixed((mixed(least.astype(np.uint64)).reshape(-1, BANDS, ROWS) * _KEYS).sum(2, dtype=np.uint64) + _BAND).view(np.int64)
+
+
+def key_lists(keys: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, node and the keys of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known: dict[bytes, int] = {}
-        words = [words_of(t) for t in texts(batch)]
-        keys = [band_keys(shingles(w, known)) for w in words]
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS), pa.int32()), flat)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([node_of(w) for w in words], pa.int64()), lists], ["doc_id", "node", "keys"])
+        nodes, sets = shingles(texts(batch))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes), key_lists(band_keys(sets))], ["doc_id", "node", "keys"])
 
     return map_batches(docs.select("doc_id", "text"), "doc_id long, node long, keys array<long>", run)
 
@@ -90,7 +134,7 @@ def noded(docs: DataFrame) -> DataFrame:
     """node and text of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([node_of(words_of(t)) for t in texts(batch)], pa.int64()), batch.column("text")], ["node", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(shingles(texts(batch))[0]), batch.column("text")], ["node", "text"])
 
     return map_batches(docs.select("text"), "node long, text string", run)
 
@@ -119,7 +163,6 @@ def compared(cells: DataFrame) -> DataFrame:
     """Links (a, b) among the texts of each cell of (key, x, y)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         at, nodes, sets = None, [], []
 
         def done() -> pa.RecordBatch:
@@ -128,15 +171,16 @@ def compared(cells: DataFrame) -> DataFrame:
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("key", "x", "y", "node")]
-            for *cell, node, text in zip(*columns, texts(batch), strict=True):
+            seen, sets_ = shingles(texts(batch))
+            for *cell, node, own, found in zip(*columns, seen.tolist(), sets_, strict=True):
+                if own != node:  # another row of the same id
+                    continue
                 if cell != at:
                     if len(sets) > 1:
                         yield done()
                     at, nodes, sets = cell, [], []
-                    if len(known) > 1_000_000:
-                        known.clear()
                 nodes.append(node)
-                sets.append(np.unique(shingles(words_of(text), known)))
+                sets.append(np.unique(found))
         yield done()
 
     return cells.mapInArrow(run, "a long, b long")
@@ -148,21 +192,25 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def linked_nodes(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and root of the texts that are near copies of another; rows: the written table of ``keyed``."""
+    """node and root of the texts that are near copies of another; rows: doc_id, node and keys of rows of ``docs``."""
     spark = docs.sparkSession
-    under = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    one, one_path = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "nodes")
+    under = one.select("node", "doc_id", F.explode("keys").alias("key"))
     buckets = under.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("which")).where("members > 1")
     once = buckets.groupBy("members", "which").agg(F.min("key").alias("key")).drop("which")
     blocks = F.when(F.col("members") > MEMBERS, F.ceil(F.col("members") / (MEMBERS // 2))).otherwise(F.lit(1).cast("long"))
-    members, path = written(under.join(once, "key").select("key", "node", blocks.alias("blocks")), "members")
-    wanted, wanted_path = written(members.select("node").distinct(), "wanted")
-    found = noded(docs).join(small(wanted), "node", "left_semi").dropDuplicates(["node"])
-    own = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    members, path = written(under.join(once, "key").select("key", "node", "doc_id", blocks.alias("blocks")), "members")
+    # a text is read again by one of its ids (those without one by their words); other rows of that id are told apart by their words
+    wanted = members.select("node", F.col("doc_id").alias("_id")).distinct()
+    found = docs.select("doc_id", "text").join(small(wanted.where("_id IS NOT NULL")), F.col("doc_id") == F.col("_id")).select("node", "text")
+    found = found.unionByName(noded(docs.where("doc_id IS NULL")).join(wanted.where("_id IS NULL").select("node"), "node", "left_semi"))
+    found = found.withColumn("_hash", F.xxhash64("text")).repartition("node").dropDuplicates(["node", "_hash"]).drop("_hash")
+    own = members.drop("doc_id").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node").join(found, "node")
     links, links_path = written(compared(cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")), "copy-links")
     joined = components(links)
-    for p in (path, wanted_path, links_path):
+    for p in (one_path, path, links_path):
         remove(spark, p)
     return joined
 
@@ -170,17 +218,17 @@ def linked_nodes(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without those that have a near copy of smaller doc_id, directly or over others.
 
-    Of rows that share a doc_id one stays; rows without one stay.
+    Of rows that share a doc_id one stays, that with the least text; rows without one stay. Documents that tie share their component's smallest id.
     """
     spark = docs.sparkSession
     rows, path = written(keyed(docs), "keyed")
-    ids = rows.select("doc_id", "node")
-    of = ids.join(linked_nodes(rows, docs), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    least = of.groupBy("root").agg(F.min("doc_id").alias("component"))
-    each = of.where("doc_id IS NOT NULL").join(least, "root").groupBy("doc_id").agg(F.min("component").alias("component"), F.count("*").alias("copies"))
-    marked, _ = written(each.where("component < doc_id OR copies > 1").selectExpr("doc_id AS _id", "component < doc_id AS _gone"), "marked")
-    remove(spark, path)
-    names = [docs[c] for c in docs.columns]
-    left = docs.join(small(marked), docs["doc_id"] == F.col("_id"), "left")
-    once = left.where("_id IS NULL").select(*names)
-    return once.unionByName(left.where("NOT _gone").select(*names).dropDuplicates(["doc_id"]))
+    linked, linked_path = written(linked_nodes(rows, docs), "copies")
+    of = rows.select("doc_id", "node").join(small(linked), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    least, least_path = written(of.groupBy("root").agg(F.min("doc_id").alias("component"), F.count("*").alias("members")).where("members > 1").drop("members"), "least")
+    each = of.where("doc_id IS NOT NULL").join(small(least), "root", "left").groupBy("doc_id").agg(F.min("component").alias("component"), F.count("*").alias("copies"))
+    marked, _ = written(each.where("component < doc_id OR copies > 1").selectExpr("doc_id AS _id", "coalesce(component < doc_id, false) AS _gone"), "marked")
+    for p in (path, linked_path, least_path):
+        remove(spark, p)
+    packed = docs.select("doc_id", F.struct(*docs.columns).alias("_row")).join(small(marked), F.col("doc_id") == F.col("_id"), "left")  # so no name of theirs clashes
+    once = packed.where("_id IS NULL").select("_row.*")
+    return once.unionByName(packed.where("NOT _gone").groupBy("doc_id").agg(F.min_by("_row", F.coalesce("_row.text", F.lit(""))).alias("_row")).select("_row.*"))
