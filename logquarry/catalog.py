@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,11 +13,11 @@ from .functions import text
 from .functions.similarity import fuzzy_matches, may_reach, similarity
 from .functions.tokens import tokens
 from .operators import alerts, formats, ranges, setops
-from .operators.search import SearchOptions, matches, ordered, rank_page, search, tokenised, with_context
-from .plans.lowering import index_hits, phrase_candidates, predicate
+from .operators.search import SearchOptions, indexed_matches, matches, ordered, rank_page, search, tokenised, with_context
+from .plans.lowering import phrase_candidates, predicate
 from .plans.query import Phrase, parse, terms
-from .sources.index_store import compact, metadata_of, postings_of, vocabulary_of
-from .sources.lines import average_length, last_lines, line_at
+from .sources.index_store import Index, compact, metadata_of, postings_of, vocabulary_of
+from .sources.lines import average_length, last_lines, line_at, shared_folder
 from .streaming.watch import level_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,32 +168,58 @@ def column_query(spark, sf_dir):
     return matches(parsed, "level:ERROR AND remote_user:user1", SearchOptions(mode="column")).select("file", "line_no")
 
 
-@query()
+def _similar_sql(words: str, target: str, threshold: float) -> str:
+    """CTEs: ``near`` has the distinct words w of ``words`` with score at least the threshold. Places of matches come one character of the target a step."""
+    n = len(target)
+    reach = f"greatest(length(w), {n}) // 2 - 1"
+    return f"""steps AS (SELECT DISTINCT w, 0 AS i, CAST([] AS BIGINT[]) AS js FROM {words} WHERE w <> '' AND (2 + least(length(w), {n}) / greatest(length(w), {n})) / 3 >= {(threshold - 0.4) / 0.6 - 1e-9}
+UNION ALL SELECT w, i + 1, list_append(js, coalesce(list_filter(range(greatest(1, i + 1 - ({reach})), least(length(w), i + 1 + {reach}) + 1), lambda j: w[j] = substr('{target}', i + 1, 1) AND NOT list_contains(js, j))[1], 0)) FROM steps WHERE i < {n}),
+paired AS (SELECT w, list_filter(js, lambda j: j > 0) AS bs, list_filter(range(1, {n} + 1), lambda k: js[k] > 0) AS xs FROM steps WHERE i = {n}),
+jaro AS (SELECT w, len(bs) AS m, len(list_filter(range(1, len(bs) + 1), lambda k: substr('{target}', xs[k], 1) <> w[list_sort(bs)[k]])) AS swapped FROM paired WHERE len(bs) > 0),
+scored AS (SELECT w, (m / {n} + m / length(w) + (m - swapped / 2) / m) / 3 AS jaro, coalesce(list_filter(range(1, 5), lambda k: length(w) < k OR {n} < k OR w[k] <> substr('{target}', k, 1))[1] - 1, 4) AS prefix FROM jaro),
+near AS (SELECT w, CASE WHEN w = '{target}' THEN 1.0 ELSE jaro + prefix * 0.1 * (1 - jaro) END AS score FROM scored WHERE w = '{target}' OR jaro + prefix * 0.1 * (1 - jaro) >= {threshold})"""
+
+
+_TERMS = "v AS (SELECT DISTINCT unnest(terms) AS w FROM tokens)"
+
+
+@query(f"WITH RECURSIVE {views.DOC_TOKENS}, {_TERMS}, {_similar_sql('v', 'licensed', 0.9)} SELECT file, line_no, byte_offset FROM tokens WHERE list_has_any(terms, (SELECT coalesce(list(w), CAST([] AS VARCHAR[])) FROM near))")
 def fuzzy_query(spark, sf_dir):
     return _hits(spark, sf_dir, "~licensed:0.9")
 
 
-@query()
+@query(f"WITH RECURSIVE {views.DOC_TOKENS}, p AS (SELECT unnest(terms) AS w FROM tokens), {_similar_sql('p', 'connection', 0.8)} SELECT w AS term, count(*) AS df, round(max(score), 6) AS score FROM p JOIN near USING (w) GROUP BY w")
 def fuzzy_vocabulary(spark, sf_dir):
     vocabulary = vocabulary_of(postings_of(views.doc_lines(spark, sf_dir)))
-    near = vocabulary.where(may_reach(F.col("term"), "connection", 0.8)).withColumn("score", F.round(similarity(F.col("term"), "connection"), 6))
-    return near.where("score >= 0.8")
+    near = vocabulary.where(may_reach(F.col("term"), "connection", 0.8)).withColumn("score", similarity(F.col("term"), "connection"))
+    return near.where("score >= 0.8").withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {views.DOC_LINES}, raw AS (SELECT file, line_no, regexp_extract_all(content, '[^ \t\n\x0b\f\r]+') AS found FROM doc_lines),
+each AS (SELECT file, line_no, unnest(found) AS token, generate_subscripts(found, 1) AS i FROM raw), words AS (SELECT *, regexp_replace(lower(token), '[^A-Za-z0-9_]', '', 'g') AS w FROM each),
+{_similar_sql('words', 'license', 0.9)} SELECT file, line_no, token, round(score, 6) AS score, i FROM words JOIN near USING (w)""")
 def fuzzy_spans(spark, sf_dir):
-    found = fuzzy_matches(F.col("content"), "license", 0.9)
-    return views.doc_lines(spark, sf_dir).select("file", "line_no", F.inline(found)).withColumn("score", F.round("score", 6))
+    """Every similar token of each line, by its place among the line's tokens."""
+    lines = views.doc_lines(spark, sf_dir)
+    found = lines.select("file", "line_no", "content", F.inline(fuzzy_matches(F.col("content"), "license", 0.9)))
+    place = F.regexp_count(F.substring("content", F.lit(1), F.col("end")), F.lit(r"\S+")).cast("long")
+    return found.select("file", "line_no", "token", F.round("score", 6).alias("score"), place.alias("i"))
 
 
 @query(f"WITH {views.DOC_TOKENS} SELECT file, line_no FROM tokens WHERE {has('licensed')} AND ({has('apache')} OR {has('gnu')})")
 def index_search(spark, sf_dir):
-    """The index strategy: candidates by postings, then the lines."""
+    """A stored index: candidates by postings, then the lines."""
+    index = Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}").build(views.doc_lines(spark, sf_dir))
+    return indexed_matches(index, "licensed AND (apache OR gnu)").select("file", "line_no")
+
+
+@query(f"WITH {views.DOC_TOKENS} SELECT file, line_no, byte_offset, file_lines FROM tokens WHERE {has('que')} AND NOT {has('la')}")
+def index_append(spark, sf_dir):
+    """An index of half the documents to which all are appended."""
     lines = views.doc_lines(spark, sf_dir)
-    posted = postings_of(lines)
-    node = parse("licensed AND (apache OR gnu)")
-    hits = index_hits(node, posted, vocabulary_of(posted))
-    return tokenised(lines).join(hits, ["file", "line_no"], "left_semi").where(predicate(node)).select("file", "line_no")
+    index = Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}").build(lines.where("file % 2 = 0"))
+    index.append(lines)
+    return indexed_matches(index, "que NOT la").select("file", "line_no", "byte_offset", "file_lines")
 
 
 @query(f"WITH {views.EVENT_LOG} SELECT file, line_no FROM event_log WHERE substr(content, 1, 19) BETWEEN '2024-01-05T00:00:00' AND '2024-01-07T12:00:00'")
@@ -372,10 +399,16 @@ def parse_generic(spark, sf_dir):
     return found.select("line_no", stamp("ts").alias("ts"), "level", F.size("fields").cast("long").alias("n_fields"))
 
 
-@query(f"""WITH {views.EVENT_LOG}, {views.EVENT_JSON}, {views.ACCESS_LOG}
-SELECT 'access' AS source, count(*) AS total, CAST(0 AS BIGINT) AS json, count(*) AS nginx, count(*) AS apache, CAST(0 AS BIGINT) AS syslog, 'nginx' AS best, 'nginx' AS "first" FROM access_log
-UNION ALL SELECT 'events', count(*), 0, 0, 0, count(*), 'syslog', 'syslog' FROM event_log
-UNION ALL SELECT 'json', count(*), count(*), 0, 0, 0, 'json', 'json' FROM event_json""")
+_APACHE_DUCK = _NGINX_DUCK.replace("\\s+([0-9]+)(?:", "\\s+(\\S+)(?:")
+_SYSLOG_DUCK = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:]{8}(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?\s+|^(<[0-9]+>)?\w{3}\s+[0-9]{1,2}\s+[0-9]{2}:[0-9]{2}:[0-9]{2}\s+\S+\s+|^<[0-9]+>[0-9]+\s+(\S+\s+){5}"
+
+
+@query(f"""WITH {views.EVENT_LOG}, {views.EVENT_JSON}, {views.ACCESS_LOG},
+a AS (SELECT 'access' AS source, content FROM access_log UNION ALL SELECT 'events', content FROM event_log UNION ALL SELECT 'json', content FROM event_json),
+s AS (SELECT source, count(*) AS total, count(*) FILTER (WHERE starts_with(trim(content), '{{') AND ends_with(trim(content), '}}')) AS json, count(*) FILTER (WHERE regexp_matches(content, '{_NGINX_DUCK}')) AS nginx,
+count(*) FILTER (WHERE regexp_matches(content, '{_APACHE_DUCK}')) AS apache, count(*) FILTER (WHERE regexp_matches(content, '{_SYSLOG_DUCK}')) AS syslog FROM a GROUP BY source)
+SELECT *, CASE greatest(json, nginx, apache, syslog) WHEN json THEN 'json' WHEN nginx THEN 'nginx' WHEN apache THEN 'apache' ELSE 'syslog' END AS best,
+CASE WHEN json >= total / 4 THEN 'json' WHEN nginx >= total / 4 THEN 'nginx' WHEN apache >= total / 4 THEN 'apache' WHEN syslog >= total / 4 THEN 'syslog' ELSE 'generic' END AS "first" FROM s""")
 def detect_format(spark, sf_dir):
     sources = {"access": views.access_log, "events": views.event_log, "json": views.event_json}
     out = None
@@ -399,11 +432,13 @@ def alert_match(spark, sf_dir):
     return found.select("rule", "severity", "file", "line_no", stamp("ts").alias("ts"), "line")
 
 
-@query(f"""WITH {_ALERTS}, g AS (SELECT rule, severity, ts, cooldown, lag(ts) OVER (PARTITION BY rule, severity ORDER BY ts, line_no) AS before FROM timed)
-SELECT rule, severity, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM g WHERE before IS NULL OR epoch(ts) - epoch(before) >= cooldown""")
+@query(f"""WITH RECURSIVE {_ALERTS}, d AS (SELECT DISTINCT rule, severity, cooldown, CAST(epoch(ts) AS BIGINT) AS t FROM timed),
+n AS (SELECT rule, severity, cooldown, min(t) AS t FROM d GROUP BY ALL
+UNION ALL SELECT rule, severity, cooldown, (SELECT min(d.t) FROM d WHERE d.rule = n.rule AND d.severity = n.severity AND d.t >= n.t + n.cooldown) AS t FROM n WHERE t IS NOT NULL)
+SELECT rule, severity, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M:%S') AS ts FROM n WHERE t IS NOT NULL""")
 def alert_cooldown_batch(spark, sf_dir):
     found = alerts.match_rules(views.event_log(spark, sf_dir), alerts.rules(RULES))
-    return alerts.bursts(found).select("rule", "severity", stamp("ts").alias("ts"))
+    return alerts.notified(found).select("rule", "severity", stamp("ts").alias("ts"))
 
 
 @query(f"WITH {views.EVENT_LOG} SELECT strftime(date_trunc('day', CAST(replace(substr(content, 1, 19), 'T', ' ') AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS start, CASE regexp_extract(content, '\\[(\\w+)\\]', 1) WHEN 'DEBUG' THEN 'INFO' ELSE regexp_extract(content, '\\[(\\w+)\\]', 1) END AS level, count(*) AS lines FROM event_log GROUP BY ALL")

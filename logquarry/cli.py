@@ -69,7 +69,7 @@ def run_search(spark: SparkSession, store: IndexStore, file: str, query: str, op
     began = time.perf_counter()
     index = store.open(file) if use_index else None
     if index is not None:
-        index.append(read_lines(spark, file))
+        index.refresh(file)
     source = index or read_lines(spark, file)
     rows = [r.asDict(recursive=True) for r in search(source, query, options).collect()]
     return {"query": query, "file": file, **counted(source, query, options), "seconds": round(time.perf_counter() - began, 3), "results": rows}
@@ -107,7 +107,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "index":
         index = None if a.force else store.open(a.file)
         lines = read_lines(spark, a.file)
-        added = index.append(lines) if index else None
+        added = index.refresh(a.file) if index else None
         index = index or store.build(a.file, lines)
         print(f"{index.path}: " + (f"{added} new lines" if added is not None else f"format {detect_format(lines)}"))
     elif a.command in ("info", "detect"):

@@ -32,13 +32,18 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def may_reach(term: Column, target: str, threshold: float) -> Column:
-    """A bound on lengths that every term of at least this similarity keeps; evaluated without Python.
+    """A bound that every term of at least this similarity keeps; evaluated without Python.
 
-    jaro <= (2 + shorter / longer) / 3 and similarity <= jaro + 0.4 (1 - jaro).
+    No more characters match than either word has that occur in the other; the common prefix is known exactly.
     """
-    n = max(len(target), 1)
-    ratio = F.least(F.length(term), F.lit(n)) / F.greatest(F.length(term), F.lit(n))
-    return (2 + ratio) / 3 >= F.lit((threshold - 0.4) / 0.6 - 1e-9)
+    n, size = max(len(target), 1), F.length(term)
+    shared = size - F.length(F.translate(term, "".join(dict.fromkeys(target)), "")) if target else F.lit(0)
+    matched = F.least(shared, F.lit(n))
+    jaro = (matched / size + matched / n + 1) / 3
+    prefix = F.lit(0)
+    for k in range(1, min(4, len(target)) + 1):
+        prefix = F.when(F.startswith(term, F.lit(target[:k])), k).otherwise(prefix)
+    return (size > 0) & (matched > 0) & (jaro + prefix * 0.1 * (1 - jaro) >= threshold - 1e-9)
 
 
 def similarity(column: Column, target: str) -> Column:

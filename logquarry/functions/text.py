@@ -13,8 +13,6 @@ K1, B, DEFAULT_LENGTH = 1.5, 0.75, 200.0
 #: Fixed patterns of times, statuses and sizes in a line.
 ISO_TIME = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"
 STATUS, SIZE = r'"\s+(\d{3})\s+', r"\s(\d+)$"
-#: A line's bytes beyond this are not fetched.
-FETCHED = 65536
 
 
 def occurrences(lowered: Column, term: str) -> Column:

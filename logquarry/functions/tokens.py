@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values that results depend on: words that are never indexed.
-STOP_WORDS = (
-    "the a an and or but in on at to for of with by from is are was were be been has have had do does did "
-    "will would could should may might must can it its that this"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been", "has", "have", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "must", "can", "it", "its", "that", "this",
+]
 #: A raw token is a run of [A-Za-z0-9_.-/].
 MIN_LENGTH = 2
 

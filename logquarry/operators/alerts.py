@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_time
@@ -69,27 +70,38 @@ def rules(definitions: str | list[dict]) -> list[Rule]:
     return [rule(d) for d in definitions]
 
 
-def match_rules(lines: DataFrame, wanted: list[Rule], width: int = 200) -> DataFrame:
-    """A row for each line and rule that matches: rule, severity, cooldown, ts, file, line_no and the line's start.
+def match_rules(lines: DataFrame, wanted: list[Rule], width: int | None = 200) -> DataFrame:
+    """A row for each line and rule that matches: rule, severity, cooldown, ts, file, line_no and the line, or its first ``width`` characters.
 
     Every rule is a column expression, so the lines are read once and nothing is joined.
     """
     found = F.array_compact(F.array(*(F.when(r.matches(F.col("content")), F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.cooldown).alias("cooldown"))) for r in wanted)))
-    return lines.select(F.inline(found), line_time(F.col("content")).alias("ts"), "file", "line_no", F.substring("content", 1, width).alias("line"))
+    return lines.select(F.inline(found), line_time(F.col("content")).alias("ts"), "file", "line_no", (F.substring("content", 1, width) if width is not None else F.col("content")).alias("line"))
 
 
-def bursts(alerts: DataFrame) -> DataFrame:
-    """The first alerts of bursts: those at least the cooldown after the alert before, by rule and severity.
+def notified(alerts: DataFrame) -> DataFrame:
+    """rule, severity and ts of the alerts that a notifier sends: those at least the cooldown after the last one sent.
 
-    Times are first summed up in buckets as wide as the cooldown. Only a bucket's first alert can begin a
-    burst, so the window runs over buckets, whose number does not grow with the alerts in them.
+    Each rule and severity has its own clock, the alerts' times. Alerts without a time, and all of a rule without a
+    cooldown, are sent each. Alerts of the same second are first made one, so a rule's rows in a task, which are read
+    in order with one number kept, grow with the seconds that it covers and not with its alerts.
     """
-    bucket = F.floor(F.unix_seconds("ts") / F.col("cooldown"))
-    timed = alerts.where("ts IS NOT NULL AND cooldown > 0")
-    summed = timed.groupBy("rule", "severity", "cooldown", bucket.alias("bucket")).agg(F.min("ts").alias("first"), F.max("ts").alias("latest"), F.count("*").alias("alerts"))
-    before = F.lag("latest").over(Window.partitionBy("rule", "severity", "cooldown").orderBy("bucket"))
-    begins = summed.withColumn("before", before).where(F.col("before").isNull() | (F.unix_micros("first") - F.unix_micros("before") >= F.col("cooldown").cast("long") * 1_000_000))
-    return begins.select("rule", "severity", F.col("first").alias("ts"))
+    columns = ["rule", "severity", "ts"]
+    free = F.col("ts").isNull() | (F.col("cooldown") <= 0)
+    seconds = alerts.where(~free).select(*columns, "cooldown").distinct().withColumn("at", F.unix_micros("ts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            kept = []
+            for i, (*own, cooldown, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rule", "severity", "cooldown", "at")), strict=True)):
+                if own != key or at - last >= cooldown * 1_000_000:
+                    kept.append(i)
+                    key, last = own, at
+            yield batch.take(pa.array(kept, pa.int64())).select(columns)
+
+    ordered = seconds.repartition("rule", "severity").sortWithinPartitions("rule", "severity", "ts")
+    return alerts.where(free).select(*columns).unionByName(ordered.mapInArrow(run, alerts.select(*columns).schema))
 
 
 #: Fixed values of the channels' payloads.

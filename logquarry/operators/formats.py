@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values: patterns, names and field lists that decide what a line is read as
-_REQUEST_TAIL = r'(?:\s+"([^"]*?)"\s+"([^"]*?)")?'
-NGINX = r'^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*?)"\s+(\d+)\s+(\d+)' + _REQUEST_TAIL
-APACHE = r'^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*?)"\s+(\d+)\s+(\S+)' + _REQUEST_TAIL
+NGINX = r'^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*?)"\s+(\d+)\s+(\d+)(?:\s+"([^"]*?)"\s+"([^"]*?)")?'
+APACHE = r'^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*?)"\s+(\d+)\s+(\S+)(?:\s+"([^"]*?)"\s+"([^"]*?)")?'
 ISO_ZONED = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
 RFC5424 = r"^<(\d+)>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(.*)"
 RFC3164 = r"^(?:<(\d+)>)?(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(.*)"
-COMMON = rf"^({ISO_ZONED})\s+(?:\[?(\w+)\]?\s+)?(.*)"
+COMMON = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\s+(?:\[?(\w+)\]?\s+)?(.*)"
 CONTAINER = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+Z"
 GENERIC_LEVEL = r"(?i)\b(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|ERR|FATAL|CRITICAL|SEVERE)\b"
-FACILITIES = "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp security console clockd".split()
-SEVERITIES = "EMERG ALERT CRITICAL ERROR WARN NOTICE INFO DEBUG".split()
+FACILITIES = ["kern", "user", "mail", "daemon", "auth", "syslog", "lpr", "news", "uucp", "cron", "authpriv", "ftp", "ntp", "security", "console", "clockd"]
+SEVERITIES = ["EMERG", "ALERT", "CRITICAL", "ERROR", "WARN", "NOTICE", "INFO", "DEBUG"]
 TIME_KEYS = ["timestamp", "time", "@timestamp", "ts", "date", "datetime"]
 LEVEL_KEYS = ["level", "severity", "log.level", "logLevel"]
 MESSAGE_KEYS = ["message", "msg", "text", "body", "content"]
@@ -29,6 +28,17 @@ def group(content: Column, pattern: str, i: int) -> Column:
     return F.regexp_extract(content, pattern, i)
 
 
+def groups(content: Column, pattern: str, n: int) -> Column:
+    """An array that holds the pattern's n groups as one array, or nothing if the line does not match: one evaluation for all of them.
+
+    The groups are written with a separator between them; a line that holds the separator itself is read group by group.
+    """
+    text = "array<array<string>>"
+    parts = F.split(F.regexp_replace(content, pattern + r"[\s\S]*+", "\x1f".join(f"${i}" for i in range(1, n + 1))), "\x1f", -1)
+    slow = F.when(content.rlike(pattern), F.array(F.array(*(F.regexp_extract(content, pattern, i) for i in range(1, n + 1)))).cast(text)).otherwise(F.array().cast(text))
+    return F.when(F.contains(content, F.lit("\x1f")), slow).otherwise(F.filter(F.array(parts), lambda g: F.size(g) == n))
+
+
 def present(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
@@ -66,28 +76,28 @@ def tests(content: Column) -> dict[str, Column]:
 
 
 def parse_nginx(lines: DataFrame) -> DataFrame:
-    c = F.col("content")
-    g = lambda i: group(c, NGINX, i)
+    found = lines.select("*", F.explode_outer(groups(F.col("content"), NGINX, 9)).alias("_g")).where("_g IS NOT NULL")
+    g = lambda i: F.col("_g")[i - 1]
     parts = F.split(g(5), " ", -1)
     whole = F.size(parts) == 3
     status = g(6).cast("int")
     part = lambda i: F.when(whole, F.element_at(parts, i))
-    return lines.where(c.rlike(NGINX)).withColumns({
+    return found.withColumns({
         "format": F.lit("nginx"), "ts": access_time(g(4)), "remote_addr": g(1), "remote_user": dash_empty(g(3)), "time_local": g(4), "request": g(5),
         "method": part(1), "path": part(2), "protocol": part(3), "status": status, "bytes": g(7).cast("long"), "referer": dash_empty(g(8)), "user_agent": g(9), "level": status_level(status),
-    }).withColumn("message", F.concat_ws(" ", "method", "path", F.col("status").cast("string")))
+    }).withColumn("message", F.concat_ws(" ", "method", "path", F.col("status").cast("string"))).drop("_g")
 
 
 def parse_apache(lines: DataFrame) -> DataFrame:
-    c = F.col("content")
-    g = lambda i: group(c, APACHE, i)
+    found = lines.select("*", F.explode_outer(groups(F.col("content"), APACHE, 9)).alias("_g")).where("_g IS NOT NULL")
+    g = lambda i: F.col("_g")[i - 1]
     parts = F.split(g(5), " ", -1)
     part = lambda i: F.when(F.size(parts) >= 2, F.element_at(parts, i))
     status = g(6).cast("int")
-    return lines.where(c.rlike(APACHE)).withColumns({
+    return found.withColumns({
         "format": F.lit("apache"), "ts": access_time(g(4)), "remote_host": g(1), "ident": dash_empty(g(2)), "auth_user": dash_empty(g(3)), "request": g(5), "method": part(1), "path": part(2),
-        "status": status, "response_size": F.when(g(7) == "-", F.lit(0)).otherwise(F.expr("try_cast(regexp_extract(content, '" + APACHE.replace("\\", "\\\\").replace("'", "\\'") + "', 7) AS bigint)")), "level": status_level(status),
-    }).withColumn("message", F.concat_ws(" ", "method", "path", F.col("status").cast("string")))
+        "status": status, "response_size": F.when(g(7) == "-", F.lit(0)).otherwise(F.expr("try_cast(_g[6] AS bigint)")), "level": status_level(status),
+    }).withColumn("message", F.concat_ws(" ", "method", "path", F.col("status").cast("string"))).drop("_g")
 
 
 def parse_json(lines: DataFrame) -> DataFrame:
@@ -112,32 +122,38 @@ def parse_json(lines: DataFrame) -> DataFrame:
 def parse_syslog(lines: DataFrame, year: int) -> DataFrame:
     """RFC 5424, RFC 3164 (whose times get ``year``) or a line that begins with an ISO time."""
     c = F.col("content")
-    new, old, common = c.rlike(RFC5424), c.rlike(RFC3164), c.rlike(COMMON)
-    pri_new, pri_old = group(c, RFC5424, 1).cast("int"), F.coalesce(F.expr("try_cast(nullif(regexp_extract(content, '^<([0-9]+)>', 1), '') AS int)"), F.lit(0))
+    named = lambda k: lambda g: F.struct(F.lit(k).alias("kind"), g.alias("g"))
+    tried = [F.transform(groups(c, p, n), named(k)) for k, (p, n) in enumerate(((RFC5424, 8), (RFC3164, 4), (COMMON, 3)))]
+    first = F.when(F.size(tried[0]) > 0, tried[0]).when(F.size(tried[1]) > 0, tried[1]).otherwise(tried[2])
+    found = lines.select("*", F.inline_outer(first).alias("_kind", "_g")).where("_g IS NOT NULL")
+    g = lambda i: F.try_element_at("_g", F.lit(i))
+    new, old = F.col("_kind") == 0, F.col("_kind") == 1
+    priority = F.coalesce(F.when(new | old, F.expr("try_cast(nullif(try_element_at(_g, 1), '') AS int)")), F.when(old, F.lit(0)))
     names = lambda values, i: F.try_element_at(F.array(*map(F.lit, values)), i + 1)
-    severity = lambda pri: names(SEVERITIES, pri.bitwiseAND(F.lit(7)))
-    old_time = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(group(c, RFC3164, 2), r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
+    severity = names(SEVERITIES, priority.bitwiseAND(F.lit(7)))
+    old_time = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(g(2), r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
     either = lambda a, b, z: F.when(new, a).when(old, b).otherwise(z)
     none = F.lit(None).cast("string")
-    return lines.where(new | old | common).withColumns({
+    return found.withColumns({
         "format": F.lit("syslog"),
-        "ts": either(iso_time(group(c, RFC5424, 3)), old_time, iso_time(group(c, COMMON, 1))),
-        "level": either(severity(pri_new), severity(pri_old), F.upper(present(group(c, COMMON, 2)))),
-        "facility": F.when(new, F.coalesce(names(FACILITIES, F.shiftright(pri_new, 3)), F.lit("user"))),
-        "severity": F.when(new, severity(pri_new)),
-        "hostname": either(dash_null(group(c, RFC5424, 4)), group(c, RFC3164, 3), none),
-        "app_name": F.when(new, dash_null(group(c, RFC5424, 5))), "proc_id": F.when(new, dash_null(group(c, RFC5424, 6))), "msg_id": F.when(new, dash_null(group(c, RFC5424, 7))),
-        "message": either(group(c, RFC5424, 8), group(c, RFC3164, 4), group(c, COMMON, 3)),
-    })
-
-
-def parse_generic(lines: DataFrame) -> DataFrame:
-    """Every line: its first time, level word and fields between white space."""
+        "ts": either(iso_time(g(3)), old_time, iso_time(g(1))),
+        "level": either(severity, severity, F.upper(present(g(2)))),
+        "facility": F.when(new, F.coalesce(names(FACILITIES, F.shiftright(priority, 3)), F.lit("user"))),
+        "severity": F.when(new, severity),
+        "hostname": either(dash_null(g(4)), g(3), none),
+        "app_name": F.when(new, dash_null(g(5))), "proc_id": F.when(new, dash_null(g(6))), "msg_id": F.when(new, dash_null(g(7))),
+        "message": either(g(8), g(4), g(3)),
+    }).drop("_kind", "_g")
+
+
+def parse_generic(lines: DataFrame, year: int = 1970) -> DataFrame:
+    """Every line: its first time (one without a year gets ``year``), level word and fields between white space."""
     c = F.col("content")
     level = F.upper(present(group(c, GENERIC_LEVEL, 1)))
     day = F.try_to_timestamp(group(c, r"\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}", 0), F.lit("dd/MMM/yyyy:HH:mm:ss"))
+    month = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(group(c, r"\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}", 0), r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
     return lines.withColumns({
-        "format": F.lit("generic"), "ts": F.coalesce(iso_time(group(c, ISO_ZONED, 0)), day),
+        "format": F.lit("generic"), "ts": F.coalesce(iso_time(group(c, ISO_ZONED, 0)), day, month),
         "level": F.when(level == "WARNING", "WARN").when(level.isin("ERR", "SEVERE"), "ERROR").otherwise(level),
         "message": c, "fields": F.filter(F.split(c, r"\s+"), lambda f: f != ""),
     })
@@ -177,4 +193,4 @@ PARSERS = {"nginx": parse_nginx, "apache": parse_apache, "json": parse_json, "ge
 
 
 def parse_as(lines: DataFrame, kind: str, year: int = 1970) -> DataFrame:
-    return parse_syslog(lines, year) if kind == "syslog" else PARSERS[kind](lines)
+    return {"syslog": parse_syslog, "generic": parse_generic}[kind](lines, year) if kind in ("syslog", "generic") else PARSERS[kind](lines)

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.tokens import tokens
-from ..plans.lowering import index_hits, predicate
+from ..plans.lowering import bounds, decided, index_hits, is_fuzzy, predicate
 from ..plans.query import Node, parse, terms
 from ..sources.index_store import Index
-from ..sources.lines import average_length
+from ..sources.lines import average_length, let
 
 KEY = ["file", "line_no"]
+#: Rows of a page that are computed once and broadcast.
+PAGE = 10_000
 
 
 @dataclass(frozen=True)
@@ -32,11 +34,13 @@ class SearchOptions:
     offset: int = 0
     limit: int | None = 1000
     context: int = 0
+    most_chars: int | None = None  # characters of a line that are returned; spans are of the whole line
     stop_words: list[str] = field(default_factory=list)
 
 
 def tokenised(lines: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
-    return lines if "terms" in lines.columns else lines.withColumn("terms", tokens(F.col("content"), stop_words=stop_words))
+    """``lines`` with their terms, computed once however often a plan uses them: an explode of one element is not copied into what reads it."""
+    return lines if "terms" in lines.columns else lines.select("*", F.explode_outer(F.array(tokens(F.col("content"), stop_words=stop_words))).alias("terms"))
 
 
 def in_time(content: Column, since: str | None, until: str | None) -> Column:
@@ -62,18 +66,35 @@ def matches(lines: DataFrame, query: str | Node, options: SearchOptions = Search
         kept = lines.where(F.contains(F.lower(content), F.lit(str(query).lower())))
     else:
         node = parse(query, options.ignore_case, options.is_regex, options.strict) if isinstance(query, str) else query
-        kept = tokenised(lines, options.stop_words).where(predicate(node, options.mode))
-        kept = kept if "terms" in lines.columns else kept.drop("terms")
+        if "terms" in lines.columns:
+            kept = lines.where(predicate(node, options.mode))
+        elif is_fuzzy(node):
+            kept = tokenised(lines, options.stop_words).where(predicate(node, options.mode)).drop("terms")
+        else:  # patterns rule out most lines; the others are tokenised, once
+            above = bounds(node, options.stop_words)[0] if options.mode == "token" else F.lit(True)
+            kept = lines.where(above & let(tokens(content, stop_words=options.stop_words), lambda found: predicate(node, options.mode, found)))
     kept = kept.where(in_time(content, options.since, options.until))
     return kept.where(of_level(content, options.level)) if options.level else kept
 
 
 def indexed_matches(index: Index, query: str | Node, options: SearchOptions = SearchOptions()) -> DataFrame:  # noqa: B008
-    """The same lines by the postings: candidates first, their content after, and the scan's predicate on those."""
+    """The same lines by the postings: candidates first, their content after, and the scan's predicate where postings do not decide.
+
+    Lines are those terms' that the index was built with; other stop words are refused.
+    """
+    told = index.options.get("stop_words") or []
+    if options.stop_words and sorted(options.stop_words) != sorted(told):
+        raise ValueError(f"the index was built with the stop words {told}, not {options.stop_words}")
     node = parse(query, options.ignore_case, options.is_regex, options.strict) if isinstance(query, str) else query
     hits = None if options.contains or options.mode == "column" else index_hits(node, index.postings, index.vocabulary)
-    lines = index.lines if hits is None else index.lines.join(hits, KEY, "left_semi")
-    return matches(lines, query if options.contains else node, options)
+    if hits is None:
+        return matches(index.lines, query if options.contains else node, options)
+    # a search for all lines joins by shuffling beyond the adaptive limit; a rare term's hits are broadcast by it
+    lines = index.lines.join(hits, KEY, "left_semi")
+    if not decided(node):
+        return matches(lines, node, options)
+    kept = lines.where(in_time(F.col("content"), options.since, options.until))
+    return kept.where(of_level(F.col("content"), options.level)) if options.level else kept
 
 
 def sort_keys(options: SearchOptions) -> list[Column]:
@@ -104,13 +125,17 @@ def with_context(lines: DataFrame, hits: DataFrame, n: int) -> DataFrame:
     """context_before and context_after of each hit: up to n lines of its file on either side.
 
     A hit asks for 2 n + 1 line numbers, so the lines meet hits in an equi-join; the lines themselves are
-    neither windowed nor sorted, however many there are beside a page of hits.
+    neither windowed nor sorted, however many there are beside a page of hits. Up to PAGE hits are computed
+    once and broadcast; beyond, the join shuffles.
     """
+    found = hits.limit(PAGE + 1).collect()
+    hits = lines.sparkSession.createDataFrame(found, hits.schema) if len(found) <= PAGE else hits
     wanted = hits.select("file", F.col("line_no").alias("hit"), F.explode(F.sequence(F.col("line_no") - n, F.col("line_no") + n)).alias("line_no"))
+    wanted = F.broadcast(wanted) if len(found) <= PAGE else wanted
     near = lines.select("file", "line_no", "content").join(wanted, KEY)
     side = lambda rows: F.transform(F.array_sort(F.collect_list(F.when(rows, F.struct("line_no", "content")))), lambda x: x["content"])
     around = near.groupBy("file", "hit").agg(side(F.col("line_no") < F.col("hit")).alias("context_before"), side(F.col("line_no") > F.col("hit")).alias("context_after"))
-    return hits.join(around.withColumnRenamed("hit", "line_no"), KEY, "left")
+    return around.withColumnRenamed("hit", "line_no").join(hits, KEY, "right")
 
 
 def search(source: DataFrame | Index, query: str, options: SearchOptions = SearchOptions()) -> DataFrame:  # noqa: B008
@@ -119,7 +144,8 @@ def search(source: DataFrame | Index, query: str, options: SearchOptions = Searc
     found = indexed_matches(source, query, options) if indexed else matches(source, query, options)
     wanted = [query] if options.contains else terms(parse(query, options.ignore_case, options.is_regex, options.strict))
     page = ordered(found, wanted, options).withColumn("highlights", text.spans(F.col("content"), wanted, options.ignore_case))
-    page = page.withColumn("content", F.substring("content", 1, text.FETCHED))
+    if options.most_chars is not None:
+        page = page.withColumn("content", F.substring("content", 1, options.most_chars))
     if options.context:
         page = with_context(source.lines if indexed else source, page, options.context).orderBy(*sort_keys(options))  # the join keeps no order
     columns = ["file", "line_no", "byte_offset", "content", "match_score", "highlights"]

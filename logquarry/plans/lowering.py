@@ -7,13 +7,14 @@ the depth of the tree, and fetches only candidate lines.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import may_reach, similar_in, similarity
-from ..functions.text import number
+from ..functions.text import number, quoted
 from ..functions.tokens import MIN_LENGTH, STOP_WORDS
 from .query import And, Field, Fuzzy, Level, Node, Not, Or, Phrase, Range, Regex, Term
 
@@ -23,12 +24,60 @@ def java_pattern(node: Regex) -> str:
     return (f"(?{flags})" if flags else "") + node.pattern
 
 
-def predicate(node: Node, mode: str = "token") -> Column:
-    """Boolean over columns ``content`` and ``terms``. mode "column" compares levels and fields with parsed columns."""
-    content, found = F.col("content"), F.col("terms")
+def term_bounds(term: str, content: Column, stop_words: list[str] | None = None) -> tuple[Column, Column]:
+    """What a line with a term always has, and what only a line with the term has; without tokenising.
+
+    A term never stands beside a word character, and a token between characters of no token is its own term.
+    Lines between the two, as those with a full stop after the word, are few.
+    """
+    if not re.fullmatch(r"[a-z0-9_.\-/]+", term):
+        return F.lit(False), F.lit(False)
+    literal = quoted(term)
+    bounded = content.rlike("(?i)" + (r"(?<!\w)" if re.match(r"\w", term) else "") + literal + (r"(?!\w)" if re.search(r"\w$", term) else ""))
+    plain = len(term) >= MIN_LENGTH and re.search(r"\w", term) and term not in [w.lower() for w in [*STOP_WORDS, *(stop_words or [])]]
+    return bounded, content.rlike(rf"(?i)(?<![\w.\-/]){literal}(?![\w.\-/])") if plain else F.lit(False)
+
+
+def bounds(node: Node, stop_words: list[str] | None = None) -> tuple[Column, Column]:
+    """Conditions on ``content`` that every match keeps, and that only matches keep (mode "token")."""
+    both = lambda parts, join: tuple(reduce(join, side) for side in zip(*(bounds(p, stop_words) for p in parts), strict=True))
     match node:
         case Term(term):
-            return F.array_contains(found, term)
+            return term_bounds(term, F.col("content"), stop_words)
+        case Level(value) | Field(_, value):
+            return term_bounds(value.lower(), F.col("content"), stop_words)
+        case And(parts):
+            return both(parts, lambda a, b: a & b)
+        case Or(parts):
+            return both(parts, lambda a, b: a | b)
+        case Not(part):
+            above, below = bounds(part, stop_words)
+            return ~below, ~above
+        case Fuzzy():
+            return F.lit(True), F.lit(False)
+    exact = predicate(node)
+    return exact, exact
+
+
+def is_fuzzy(node: Node) -> bool:
+    match node:
+        case And(parts) | Or(parts):
+            return any(map(is_fuzzy, parts))
+        case Not(part):
+            return is_fuzzy(part)
+    return isinstance(node, Fuzzy)
+
+
+def predicate(node: Node, mode: str = "token", found: Column | None = None) -> Column:
+    """Boolean over column ``content`` and the line's terms: column ``terms`` or ``found``.
+
+    mode "column" compares levels and fields with parsed columns.
+    """
+    content, found = F.col("content"), F.col("terms") if found is None else found
+    has = lambda term: F.array_contains(found, term)
+    match node:
+        case Term(term):
+            return has(term)
         case Phrase(phrase):
             return F.contains(F.lower(content), F.lit(phrase.lower()))
         case Regex():
@@ -36,17 +85,17 @@ def predicate(node: Node, mode: str = "token") -> Column:
         case Fuzzy(term, threshold):
             return similar_in(found, term, threshold)
         case Level(level):
-            return F.coalesce(F.upper(F.col("level")) == level, F.lit(False)) if mode == "column" else F.array_contains(found, level.lower())
+            return F.coalesce(F.upper(F.col("level")) == level, F.lit(False)) if mode == "column" else has(level.lower())
         case Field(field, value):
-            return F.coalesce(F.lower(F.col(field).cast("string")) == value.lower(), F.lit(False)) if mode == "column" else F.array_contains(found, value.lower())
+            return F.coalesce(F.lower(F.col(field).cast("string")) == value.lower(), F.lit(False)) if mode == "column" else has(value.lower())
         case Range(field, low, high):
             return F.coalesce(number(content, field).between(F.lit(float("-inf") if low is None else float(low)), F.lit(float("inf") if high is None else float(high))), F.lit(False))
         case And(parts):
-            return reduce(lambda a, b: a & b, (predicate(p, mode) for p in parts))
+            return reduce(lambda a, b: a & b, (predicate(p, mode, found) for p in parts))
         case Or(parts):
-            return reduce(lambda a, b: a | b, (predicate(p, mode) for p in parts))
+            return reduce(lambda a, b: a | b, (predicate(p, mode, found) for p in parts))
         case Not(part):
-            return ~predicate(part, mode)
+            return ~predicate(part, mode, found)
     raise TypeError(node)
 
 
@@ -101,6 +150,18 @@ class Candidates:
         return bool(self.leaves) and not self.condition([False] * len(self.leaves))
 
 
+def decided(node: Node) -> bool:
+    """Whether the postings alone say which lines match, so that no line need be read again."""
+    match node:
+        case Term() | Fuzzy() | Level() | Field():
+            return True
+        case And(parts) | Or(parts):
+            return all(map(decided, parts))
+        case Not(part):
+            return isinstance(part, Term)
+    return False
+
+
 def true(flags):
     return F.lit(True) if flags and isinstance(flags[0], Column) else True
 

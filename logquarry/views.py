@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.tokens import STOP_WORDS
-from .sources.lines import lines_of_column
+from .sources.lines import lines_of_column, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

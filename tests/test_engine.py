@@ -181,6 +181,73 @@ def test_store_appends_and_drops(spark, tmp_path):
     assert store.open(str(path)) is None and store.list_all() == []
 
 
+def test_unfinished_lines_are_indexed_once_they_grow(spark, tmp_path):
+    path, other = tmp_path / "grow.log", tmp_path / "other.log"
+    path.write_text("first line\nsecond par")
+    other.write_text("omega tail")
+    source = str(tmp_path / "*.log")
+    index = Index(spark, f"file://{tmp_path}/index").build(read_lines(spark, source))
+    assert numbers(indexed_matches(index, "par")) == [2]
+    for more, added in (("tial grows\nthird line\n", 2), ("\nfourth", 1), (" is long\n", 1)):
+        with open(path, "a") as f:
+            f.write(more)
+        assert index.refresh(source) == added and index.refresh(source) == 0
+        lines = read_lines(spark, source)
+        for query in ("partial OR par OR omega", "grows OR line OR long"):
+            found = sorted((r.file, r.line_no, r.content, r.file_lines) for r in indexed_matches(index, query).collect())
+            assert found == sorted((r.file, r.line_no, r.content, r.file_lines) for r in matches(lines, query).collect()), (more, query)
+        assert index.stale(lines).count() == 0
+        totals = {r.file.rpartition("/")[2]: (r.total_lines, r.unique_terms) for r in index.info().collect()}
+        expected = [set(plain_tokens(x)) for x in path.read_text().split("\n") if x]
+        assert totals == {"grow.log": (len(expected), len(set().union(*expected))), "other.log": (1, 2)}
+    path.write_text("new\n")  # a file that shrank is left alone
+    assert index.refresh(source) == 0 and index.compression_ratio() < 1
+
+
+def test_an_append_that_breaks_off_leaves_the_index(spark, tmp_path, monkeypatch):
+    path = tmp_path / "a.log"
+    path.write_text("one alpha\n")
+    index = Index(spark, f"file://{tmp_path}/index").build(read_lines(spark, str(path)))
+    with open(path, "a") as f:
+        f.write("two alpha\n")
+    with monkeypatch.context() as m:
+        m.setattr(Index, "_commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.refresh(str(path))
+    assert numbers(indexed_matches(Index(spark, index.path), "alpha")) == [1]
+    assert index.refresh(str(path)) == 1 and numbers(indexed_matches(index, "alpha")) == [1, 2]
+
+
+def test_index_keeps_to_its_tokeniser(spark, log, tmp_path):
+    lines = made(spark, ["alpha beta", "alpha gamma", "beta"])
+    index = Index(spark, f"file://{tmp_path}/index").build(lines, stop_words=["beta"])
+    for query in ("beta", "alpha NOT beta", "alpha", "beta OR gamma"):
+        assert numbers(indexed_matches(index, query)) == numbers(matches(lines, query, SearchOptions(stop_words=["beta"]))), query
+    plain = Index(spark, f"file://{tmp_path}/plain").build(lines)
+    with pytest.raises(ValueError):
+        indexed_matches(plain, "alpha NOT beta", SearchOptions(stop_words=["beta"]))
+
+
+def test_terms_are_found_without_tokenising(spark):
+    r = random.Random(12)
+    texts = ["".join(r.choice(["que", "la", "a", "x1", ".", "-", "/", " ", "é", "QUE", "_", "the", "12"]) for _ in range(r.randint(1, 14))) for _ in range(1500)]
+    df = made(spark, texts)
+    for term in ("que", "la", "a", "the", "12", "x1", "que.la.x1", "a-que", "/que", "que/la", "._", "_"):
+        expected = [i + 1 for i, t in enumerate(texts) if term in plain_tokens(t)]
+        assert numbers(matches(df, Term(term))) == expected, term
+
+
+def test_offsets_of_rows_that_share_a_key(spark):
+    body = "\n".join("x" * (k % 7) for k in range(300))
+    rows = spark.createDataFrame([(1, body), (1, "ab\n\ncd"), (2, None), (3, "")], "id long, text string")
+    got = sorted((r.file, r.byte_offset, r.content) for r in lines_of_column(rows, "id", "text").collect())
+    expected, at = [(1, 0, "ab"), (1, 4, "cd")], 0
+    for line in body.split("\n"):
+        expected += [(1, at, line)] if line else []
+        at += len(line) + 1
+    assert got == sorted(expected)
+
+
 def test_set_operators(spark):
     a, b = (spark.createDataFrame([(i,) for i in x], "o long") for x in ([10, 20, 30], [20, 30, 40]))
     values = lambda df: sorted(r.o for r in df.collect())
@@ -237,7 +304,7 @@ def test_length_bound_never_loses_a_term(spark):
     assert all(w in kept for w in words if jaro_winkler("abcab", w) >= 0.85)
 
 
-def test_rules_and_bursts(spark, log):
+def test_rules(spark, log):
     wanted = alerts.rules('[{"name":" errs ","pattern":"/error/i","cooldown":30},{"name":"d","pattern":"DISK","severity":"critical"}]')
     assert (wanted[0].name, wanted[0].severity, wanted[0].cooldown, wanted[1].cooldown) == ("errs", "warning", 30, 60)
     found = alerts.match_rules(log, wanted).collect()
@@ -248,10 +315,30 @@ def test_rules_and_bursts(spark, log):
             alerts.rule(bad)
     with pytest.raises(ValueError):
         alerts.rules("{}")
-    times = [0, 10, 59, 60, 119, 125, 400]
-    df = spark.createDataFrame([("r", "s", 60, t) for t in times], "rule string, severity string, cooldown int, t long").withColumn("ts", F.timestamp_seconds("t"))
-    got = sorted(r.t for r in alerts.bursts(df).select(F.unix_seconds("ts").alias("t")).collect())
-    assert got == [0, 400]
+
+
+def sent_by_rule(rows):
+    """A notifier fed with the alerts in the order of their times."""
+    last, out = {}, []
+    for rule, severity, cooldown, t in sorted(rows, key=lambda x: (x[3] is not None, x[3] or 0)):
+        key = (rule, severity)
+        if t is None or cooldown <= 0:
+            out.append((rule, t))
+        elif key not in last or t - last[key] >= cooldown:
+            last[key] = t
+            out.append((rule, t))
+    return sorted(out, key=str)
+
+
+def test_cooldown_over_a_table_is_that_of_a_notifier(spark):
+    r = random.Random(3)
+    rows = [("r", "s", 60, t) for t in [0, 10, 59, 60, 119, 125, 400]] + [("every", "s", 120, 60 * k) for k in range(10)]
+    rows += [("none", "s", 0, 5)] * 3 + [("timeless", "s", 60, None)] * 2 + [(f"x{k % 5}", "s", r.randint(1, 50), r.randint(0, 900)) for k in range(5)]
+    rows += [(n, s, c, r.randint(0, 900)) for n, s, c, _ in rows[-5:] for _ in range(60)]
+    df = spark.createDataFrame(rows, "rule string, severity string, cooldown int, t long").withColumn("ts", F.timestamp_seconds("t"))
+    got = sorted(((x.rule, x.t) for x in alerts.notified(df).select("rule", F.unix_seconds("ts").alias("t")).collect()), key=str)
+    assert got == sent_by_rule(rows) and [t for n, t in got if n == "r"] == [0, 125, 400, 60] and sum(n == "every" for n, _ in got) == 5
+    assert alerts.notified(df.limit(0)).count() == 0
 
 
 def test_notifier_cooldown():
