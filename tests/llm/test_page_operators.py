@@ -135,6 +135,69 @@ def test_main_text_by_structure():
     assert html_text.host_of("HTTPS://u@Ex.ORG:80/p") == "ex.org" and html_text.host_of(None) == "" and html_text.host_of("nothing") == ""
 
 
+def test_names_inside_an_article_are_only_a_prior(spark):
+    body = "<article><header><h1>Headline</h1></header><p class='share'>Shares fell on day {0}</p><p class='notice'>Notice of meeting {0} is given</p><p>Own text {0}</p><p class='notice'>{1}</p></article>"
+    frame = "Sign up for our letter to read the news of the day first every day"
+    pages = spark.createDataFrame([(i, "http://h.org/", body.format(f"w{i}", frame)) for i in range(8)], "page_id long, url string, html string")
+    found = {r.page_id: r for r in html_text.main_text(pages).collect()}
+    for i in range(8):
+        assert found[i].text == f"Headline Shares fell on day w{i} Notice of meeting w{i} is given Own text w{i}" and found[i].n_removed == len(frame.split())
+    assert html_text.read_page("<p>&am<b>p;</b> &lt;x&gt;") == [(1, "&amp; <x>")]
+
+
+def test_unmatched_tags_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        html_text.read_page("<b>" * n + "</i>" * n + "<p>x")
+        return time.perf_counter() - began
+
+    assert seconds(40000) < 30 * max(seconds(4000), 0.005)
+
+
+def brute_text(pages):
+    """Texts of pages given as blocks (zone, text) of one host, from every substring of RUN tokens."""
+    runs = {}
+    for i, blocks in enumerate(pages):
+        words = [w for _, t in blocks for w in t.split()]
+        for k in range(len(words) - html_text.RUN + 1):
+            runs.setdefault(tuple(words[k : k + html_text.RUN]), set()).add(tuple(blocks))
+    out = []
+    for blocks in pages:
+        words = [(w, j) for j, (_, t) in enumerate(blocks) for w in t.split()]
+        covered = [False] * len(words)
+        for k in range(len(words) - html_text.RUN + 1):
+            if len(runs[tuple(w for w, _ in words[k : k + html_text.RUN])]) > 1:
+                covered[k : k + html_text.RUN] = [True] * html_text.RUN
+        has = any(z != html_text.UNDECIDED for z, _ in blocks)
+        kept = []
+        for j, (z, t) in enumerate(blocks):
+            own = [c for (_, at), c in zip(words, covered, strict=True) if at == j]
+            if z == html_text.ARTICLE or (z == html_text.SUSPECT and 2 * sum(own) <= len(own)):
+                kept.append(t)
+            elif z == html_text.UNDECIDED and not has:
+                kept += [w for w, c in zip(t.split(), own, strict=True) if not c]
+        out.append(" ".join(kept))
+    return out
+
+
+def test_texts_match_brute_force_on_small_and_large_hosts(spark, monkeypatch):
+    r = random.Random(21)
+    frames = [" ".join(r.choice("abcdef") + str(r.randrange(30)) for _ in range(14)) for _ in range(5)]
+    rows = []
+    for i in range(30):
+        part = lambda: r.choice(frames) if r.random() < 0.5 else " ".join(f"u{r.randrange(10**6)}" for _ in range(r.randint(1, 12)))
+        blocks = [f"<p>{part()}</p>" for _ in range(r.randint(1, 4))]
+        inner = f"<article>{''.join(f'<p>{part()}</p><p class=notice>{part()}</p>' for _ in range(2))}</article>" if i % 2 else ""
+        rows.append((i, "http://h.org/", "".join(blocks) + inner))
+    expected = dict(enumerate(brute_text([html_text.read_page(h) for _, _, h in rows])))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (512, 4):
+        monkeypatch.setattr(html_text, "PAGES", most)
+        assert {x.page_id: x.text for x in html_text.main_text(pages).collect()} == expected
+
+
 def test_repeated_tokens_match_brute_force():
     r = random.Random(5)
     for _ in range(30):
