@@ -3,7 +3,8 @@
 A legal conversation is an optional system turn, then user and assistant turns in alternation, ending with
 the assistant. Dynamic programming over the automaton of legal turns picks, for every turn, to keep or
 relabel its role, to merge it into the turn before (of the role it then has), or to insert an empty turn
-before it, so that the whole costs least; the repaired sequence is then rendered.
+before it, so that the whole costs least; the repaired sequence is then rendered. A text's own markers are
+escaped, so that ``read_back`` gives the repaired turns again whatever their texts hold.
 
 The cost of a run of turns is a matrix from the state before to the state after, and matrices compose by
 (min, +). So conversations are cut by turn number into segments of SEGMENT turns, each with its matrix;
@@ -12,12 +13,14 @@ Renderings of a conversation's segments, joined in order, are the rendering of t
 
 Defined results: a null or unknown role costs UNKNOWN to label; a null text is the empty text; turns are in
 the order of turn (null last), role and text, nulls before others; repeated rows are turns of their own; a
-null conv_id is a conversation of its own; an empty table gives an empty result; other columns are not read.
+row without a conv_id belongs to no other and is a conversation by itself; texts and conversations of any length
+are whole, a row being a segment; of choices that tie the smaller state is taken; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from itertools import product
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,20 @@ def choices(role: str | None, state: int) -> list[tuple[int, int, str, int]]:
     return sorted(out, key=lambda c: (c[0], c[2] != "keep", c[1], c[2]))
 
 
+_MARKER, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
+_TURN = re.compile(r"<\|(system|user|assistant)\|>\n(.*?)<\|end\|>\n", re.S)
+
+
+def escaped(text: str) -> str:
+    """The text with a backslash in whatever could be read as a marker."""
+    return _MARKER.sub(r"<\\\1|", text) if "|" in text else text
+
+
+def read_back(rendered: str) -> list[tuple[str, str]]:
+    """Role and text of the turns of a whole rendering."""
+    return [(role, _ESCAPED.sub(r"<\1|", text)) for role, text in _TURN.findall(rendered)]
+
+
 _steps: dict[str | None, np.ndarray] = {}
 
 
@@ -102,7 +119,7 @@ def render(turns: list[tuple[str | None, str]], entry: int, exit_: int, last: bo
                 state = missing + 1
             open_(label)
             state = label + 1
-        parts.append(text)
+        parts.append(escaped(text))
     if last:
         for missing in ENDING[state][1]:
             open_(missing)
@@ -113,11 +130,11 @@ def render(turns: list[tuple[str | None, str]], entry: int, exit_: int, last: bo
 
 
 def segments(turns: DataFrame) -> DataFrame:
-    """conv_id, segment, turns (array of role and text in order) and the segment's cost matrix."""
-    placed = turns.select("conv_id", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit((1 << 62))).cast("long").alias("segment"), "turn", "role", "text")
+    """conv_id, lone (of a row without one), segment, roles and texts in order and the segment's cost matrix."""
+    placed = turns.select("conv_id", "lone", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit((1 << 62))).cast("long").alias("segment"), "turn", "role", "text")
     order = F.struct(F.col("turn").isNull().alias("n"), "turn", "role", "text")
-    listed = placed.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(order)).alias("t"))
-    listed = listed.select("conv_id", "segment", F.transform("t", lambda x: x["role"]).alias("roles"), F.transform("t", lambda x: F.coalesce(x["text"], F.lit(""))).alias("texts"))
+    listed = placed.groupBy("conv_id", "lone", "segment").agg(F.sort_array(F.collect_list(order)).alias("t"))
+    listed = listed.select("conv_id", "lone", "segment", F.transform("t", lambda x: x["role"]).alias("roles"), F.transform("t", lambda x: F.coalesce(x["text"], F.lit(""))).alias("texts"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         costs = []
@@ -126,9 +143,9 @@ def segments(turns: DataFrame) -> DataFrame:
             for role in roles[1:]:
                 m = compose(m, step(role))
             costs.append(m.ravel().tolist())
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "segment", "roles", "texts")), pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "segment", "roles", "texts", "costs"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "lone", "segment", "roles", "texts")), pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "lone", "segment", "roles", "texts", "costs"])
 
-    return map_batches(listed, "conv_id long, segment long, roles array<string>, texts array<string>, costs array<long>", run)
+    return map_batches(listed, "conv_id long, lone long, segment long, roles array<string>, texts array<string>, costs array<long>", run)
 
 
 def cut_states(costs: list[np.ndarray]) -> tuple[list[int], int]:
@@ -145,8 +162,10 @@ def cut_states(costs: list[np.ndarray]) -> tuple[list[int], int]:
 
 def formatted(turns: DataFrame) -> DataFrame:
     """conv_id, segment, n_turns, the actions' counts, the conversation's cost and the rendering: a row for each segment."""
-    made, _ = written(segments(turns), "segments")
-    listed = made.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("segment", "costs"))).alias("all"))
+    # rows without a conv_id never meet: the row itself is told apart by where it lies
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    made, _ = written(segments(turns.select("conv_id", own.alias("lone"), "turn", "role", "text")), "segments")
+    listed = made.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list(F.struct("segment", "costs"))).alias("all"))
 
     def cuts(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
@@ -154,10 +173,10 @@ def formatted(turns: DataFrame) -> DataFrame:
             states, cost = cut_states([np.array(x["costs"], np.int64).reshape(STATES, STATES) for x in own])
             found.append([{"segment": x["segment"], "entry": a, "exit": b, "last": x is own[-1], "cost": cost} for x, a, b in zip(own, states[:-1], states[1:], strict=True)])
         kind = pa.list_(pa.struct([("segment", pa.int64()), ("entry", pa.int64()), ("exit", pa.int64()), ("last", pa.bool_()), ("cost", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(found, kind)], ["conv_id", "cuts"])
+        return pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("lone"), pa.array(found, kind)], ["conv_id", "lone", "cuts"])
 
-    placed = map_batches(listed, "conv_id long, cuts array<struct<segment: long, entry: long, exit: long, last: boolean, cost: long>>", cuts).select("conv_id", F.inline("cuts"))
-    joined = made.alias("m").join(placed.alias("p"), F.col("m.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("m.segment") == F.col("p.segment")))
+    placed = map_batches(listed, "conv_id long, lone long, cuts array<struct<segment: long, entry: long, exit: long, last: boolean, cost: long>>", cuts).select("conv_id", "lone", F.inline("cuts"))
+    joined = made.alias("m").join(placed.alias("p"), F.col("m.conv_id").eqNullSafe(F.col("p.conv_id")) & F.col("m.lone").eqNullSafe(F.col("p.lone")) & (F.col("m.segment") == F.col("p.segment")))
     joined = joined.select("m.conv_id", "m.segment", "roles", "texts", "entry", "exit", "last", "cost")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -168,18 +187,3 @@ def formatted(turns: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(out, ["conv_id", "segment", "n_turns", "n_kept", "n_relabelled", "n_merged", "n_inserted", "cost", "rendered"])
 
     return map_batches(joined, "conv_id long, segment long, n_turns long, n_kept long, n_relabelled long, n_merged long, n_inserted long, cost long, rendered string", run)
-
-
-def least_cost(roles: list[str | None]) -> int:
-    """By trying every choice; for tests."""
-    best = NEVER
-    for picks in product(range(5), repeat=len(roles)):
-        state, cost = 0, 0
-        for role, pick in zip(roles, picks, strict=True):
-            options = choices(role, state)
-            if pick >= len(options):
-                break
-            cost, state = cost + options[pick][0], options[pick][1]
-        else:
-            best = min(best, cost + ENDING[state][0])
-    return best

@@ -7,9 +7,12 @@ The decoder reads any stream of that kind. It checks each frame's header CRC-8 a
 Rice codes of all frames of a batch in lockstep (a table of the next set bit turns a unary code into one
 lookup; escaped partitions hold plain numbers), restores fixed predictors by running sums and linear ones in lockstep, and checks the MD5.
 
+``read_samples`` decodes from the seek table: only the frames that hold the wanted samples are read. The table has a point
+for each frame up to 900,000 frames (a metadata block holds no more); beyond, a read looks for the frames between points.
+
 Defined results: a null text counts as the empty text; texts of any length are stored whole; equal texts
-give equal streams whatever else is in their batch; repeated rows get equal results; an empty table gives
-an empty result; other columns are not read. A damaged stream raises ValueError.
+give equal streams whatever else is in their batch; repeated rows and ties get equal results; an empty table gives
+an empty result; other columns are not read. A damaged stream raises ValueError, in memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .common import bounded_batches, map_batches, texts
 BLOCK, RATE, ORDER, PRECISION, PARTITION = 1024, 8000, 8, 8, 256
 #: Samples coded or decoded at once.
 CHUNK = 1 << 20
+#: Bytes of the longest slice whose checksum is taken at once; longer ones, as of damaged streams, go in pieces of so many.
+STRIDE = 1 << 13
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -49,8 +54,25 @@ def _crc_by_distance(poly: int, bits: int, length: int) -> np.ndarray:
     return np.array(rows, np.uint16)
 
 
+def _continued(crc: int, data: np.ndarray, poly: int, bits: int) -> int:
+    """The checksum after more bytes: what was before them is folded into the first ones, STRIDE bytes at a time."""
+    for at in range(0, len(data), STRIDE):
+        part = np.r_[np.zeros(0, np.uint8), data[at : at + STRIDE]]
+        if len(part) * 8 < bits:  # a byte beside two of the checksum
+            table = _crc_table(poly, bits)
+            crc = int(table[(crc >> 8) ^ int(part[0])]) ^ (crc << 8 & 0xFFFF)
+            continue
+        for k in range(bits // 8):
+            part[k] ^= crc >> (bits - 8 - 8 * k) & 0xFF
+        terms = _crc_by_distance(poly, bits, STRIDE)[np.arange(len(part))[::-1], part]
+        crc = int(np.bitwise_xor.reduce(terms))
+    return crc
+
+
 def checksums(data: np.ndarray, start: np.ndarray, length: np.ndarray, poly: int, bits: int) -> np.ndarray:
     """Checksums of the slices of ``data``, all lengths positive."""
+    if int(length.max(initial=1)) > STRIDE:
+        return np.array([_continued(0, data[s : s + n], poly, bits) for s, n in zip(start.tolist(), length.tolist(), strict=True)], np.uint16)
     ends = np.cumsum(length)
     at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
     size = 1 << int(length.max(initial=1)).bit_length()
@@ -306,6 +328,12 @@ def find_frames(media: list[bytes]) -> tuple[np.ndarray, list[Frame], list[tuple
             frames.append(Frame(i, base + first + o, base + end, number, size, base + p + 1))
         base += len(one)
     data = np.frombuffer(joined, np.uint8)
+    _verify(data, frames)
+    return data, frames, infos
+
+
+def _verify(data: np.ndarray, frames: list[Frame]) -> None:
+    """Raise ValueError if a frame's checksum is wrong."""
     if frames:
         start, end, body = (np.array([getattr(f, k) for f in frames]) for k in ("start", "end", "body"))
         if (crc8(data, start, body - start - 1) != data[body - 1]).any():
@@ -314,28 +342,18 @@ def find_frames(media: list[bytes]) -> tuple[np.ndarray, list[Frame], list[tuple
             s, e = start[k : k + 256], end[k : k + 256]
             if (crc16(data, s, e - s - 2) != data[e - 2].astype(np.uint16) << 8 | data[e - 1]).any():
                 raise ValueError("a frame's CRC-16 is wrong")
-    return data, frames, infos
 
 
 def _scan(one: bytes, first: int, total: int) -> list[int]:
     """Offsets of the frames without a seek table: a sync code with the next number, and the frame before it has a right CRC-16."""
-    data, starts, at, seen, number = np.frombuffer(one, np.uint8), [], first, 0, 0
+    starts, at, seen, number = [], first, 0, 0
     while seen < total:
         number_, size, p = read_header(one, at)
         if number_ != number:
             raise ValueError("frames are out of order")
         starts.append(at - first)
-        seen, number, q = seen + size, number + 1, p + 1
-        while True:
-            q = one.find(b"\xff\xf8", q) if seen < total else len(one)
-            if q < 0:
-                raise ValueError("a frame's end is missing")
-            if q - 2 > p and int(crc16(data, np.array([at]), np.array([q - at - 2]))[0]) == int.from_bytes(one[q - 2 : q], "big"):
-                break
-            if q == len(one):
-                raise ValueError("a frame's CRC-16 is wrong")
-            q += 1
-        at = q
+        seen, number = seen + size, number + 1
+        at = _frame_end(one, at, p) if seen < total else len(one)
     return starts
 
 
@@ -490,6 +508,56 @@ def decode_media(media: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     return out
 
 
+def read_samples(media: list[bytes], first: list[int], count: list[int]) -> list[bytes]:
+    """So many samples (unsigned bytes) of each stream from the first wanted one on, decoded from the seek points before them alone."""
+    frames, skips, base = [], [], 0
+    for i, (one, lo, n) in enumerate(zip(media, first, count, strict=True)):
+        start, total, _, points = read_metadata(one)
+        points = sorted((s, o) for s, o, _ in points if s != (1 << 64) - 1) or [(0, 0)]
+        if lo < 0 or n < 0 or lo + n > total:
+            raise ValueError("no such samples")
+        k = max((j for j, (s, _) in enumerate(points) if s <= lo), default=0)
+        at, offset = points[k] if points[k][0] <= lo else (0, 0)
+        skips.append(lo - at)
+        own = base + start + offset
+        while n and at < lo + n:  # frame by frame: the next point, else a search for the frame's end
+            number, size, p = read_header(one, own - base)
+            k += 1
+            known = k < len(points) and points[k][0] == at + size
+            end = len(one) if at + size >= total else start + points[k][1] if known else _frame_end(one, own - base, p)
+            frames.append(Frame(i, own, base + end, number, size, base + p + 1))
+            at, own = at + size, base + end
+            k -= not known
+        base += len(one)
+    data = np.frombuffer(b"".join(media), np.uint8)
+    _verify(data, frames)
+    parts: list[list[np.ndarray]] = [[] for _ in media]
+    k = 0
+    while k < len(frames):
+        end, total = k, 0
+        while end < len(frames) and (total < CHUNK or end == k):
+            total, end = total + frames[end].size, end + 1
+        for f, s in zip(frames[k:end], decode_frames(data, frames[k:end]), strict=True):
+            parts[f.media].append((s + 128).astype(np.uint8))
+        k = end
+    return [np.concatenate([*p, np.zeros(0, np.uint8)])[skip : skip + n].tobytes() for p, skip, n in zip(parts, skips, count, strict=True)]
+
+
+def _frame_end(one: bytes, at: int, p: int) -> int:
+    """The byte after the frame that begins at ``at``: the next sync code before which its CRC-16 is right."""
+    data, crc, done, q = np.frombuffer(one, np.uint8), 0, at, p + 1
+    while True:
+        q = one.find(b"\xff\xf8", q)
+        q = len(one) if q < 0 else q
+        if q - 2 > p:
+            crc, done = _continued(crc, data[done : q - 2], 0x8005, 16), q - 2
+            if crc == int.from_bytes(one[q - 2 : q], "big"):
+                return q
+        if q == len(one):
+            raise ValueError("a frame's CRC-16 is wrong")
+        q += 1
+
+
 # ---------------------------------------------------------------- columns
 
 
@@ -543,18 +611,13 @@ def media_digests(docs: DataFrame) -> DataFrame:
             while end < len(raw) and (end == at or total < 4 * CHUNK):
                 total, end = total + sizes[end], end + 1
             media = encode_payloads([payload(t) for t in raw[at:end]])
-            for n, m, blocks in zip(sizes[at:end], media, decode_media(media), strict=True):
-                pcm = np.concatenate([b for _, _, b in blocks])
-                rows.append((n, len(pcm), hashlib.sha256(pcm.tobytes()).hexdigest(), zlib.crc32(tail(blocks, 64)), len(m), hashlib.sha256(m).hexdigest(), feature(pcm)))
+            decoded = [np.concatenate([b for _, _, b in blocks]) for blocks in decode_media(media)]
+            tails = read_samples(media, [len(pcm) - 64 for pcm in decoded], [64] * len(decoded))
+            for n, m, pcm, last in zip(sizes[at:end], media, decoded, tails, strict=True):
+                rows.append((n, len(pcm), hashlib.sha256(pcm.tobytes()).hexdigest(), zlib.crc32(last), len(m), hashlib.sha256(m).hexdigest(), feature(pcm)))
             at = end
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return map_batches(docs.select("doc_id", "text"), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", run)
-
-
-def tail(blocks: list[tuple[int, int, np.ndarray]], n: int) -> bytes:
-    """The last n samples, from the blocks whose sample offsets reach into them."""
-    first = blocks[-1][0] + len(blocks[-1][2]) - n
-    return b"".join(pcm[max(0, first - at) :].tobytes() for at, _, pcm in blocks if at + len(pcm) > first)

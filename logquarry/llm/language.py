@@ -10,8 +10,9 @@ count before it is used.
 
 Defined results: null html is the empty page, whose text says nothing; a missing or unknown declaration
 is evidence like any other; a page without a host has the whole table's prior; without labelled rows the
-language is null; repeated rows get equal results; an empty table gives an empty result; other columns
-are not read. Ties go to the first language in code-point order.
+language is null; texts of any length are read whole, their evidence counting as MOST_OBSERVATIONS independent
+observations at most, since words of one text repeat one another; repeated rows get equal results; an empty table
+gives an empty result; other columns are not read. Ties go to the first language in code-point order.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .html_text import host_of, read_page
 BUCKETS, MILLION = 1 << 16, 1_000_000
 #: Trigrams that count as one independent observation, and the most that a text can count for.
 PER_OBSERVATION, MOST_OBSERVATIONS = 8.0, 200.0
+#: Labels under which countries register names.
+SECOND_LEVEL = {"ac", "co", "com", "edu", "gov", "gob", "gouv", "mil", "ne", "net", "or", "org"}
 #: Times the sample's rows that are to pass the hash cutoff.
 SPARE = 4
 _HTML = re.compile(r"<html\b[^>]*", re.I)
@@ -42,6 +45,15 @@ def declared_language(page: str) -> str:
     return found[1].lower() if found else ""
 
 
+def domain_of(host: str) -> str:
+    """The part of a host that one owner registered: two labels, three under a country's own kinds such as co.uk; an address is its own."""
+    labels = host.split(".")
+    if labels[-1].isdecimal() or ":" in host:
+        return host
+    shared = len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND_LEVEL
+    return ".".join(labels[-3 if shared else -2 :])
+
+
 def trigrams(text: str) -> np.ndarray:
     """Buckets of the text's byte trigrams, A-Z in lower case."""
     raw = np.frombuffer(text.encode().lower(), np.uint8).astype(np.uint32)
@@ -114,7 +126,7 @@ def evidence(pages: DataFrame, languages: list[str], table: np.ndarray) -> DataF
         hosts = [host_of(u) for u in urls]
         declared = [d if d in languages else "(other)" if d else "" for d in map(declared_language, html)]
         columns = [
-            batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(hosts, pa.string()), pa.array([".".join(h.split(".")[-2:]) for h in hosts], pa.string()),
+            batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(hosts, pa.string()), pa.array(list(map(domain_of, hosts)), pa.string()),
             pa.array([h.rpartition(".")[2] for h in hosts], pa.string()), pa.array(declared, pa.string()), pa.array(log.tolist(), pa.list_(pa.float64())), pa.array(own.tolist(), pa.list_(pa.int64())),
         ]
         return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "domain", "suffix", "declared", "log", "own"])

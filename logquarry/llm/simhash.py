@@ -16,7 +16,7 @@ task up to MEMBERS; more are dealt in blocks, a task for each pair of blocks. Ta
 trees of the links they find, not the links. Components come from star contraction on written tables.
 
 Defined results: a null text counts as the empty text; empty and wordless texts have fingerprint zero
-and are linked like any other; repeated rows share a component; a null doc_id is never a component's
+and are linked like any other; texts of any length are read whole; repeated rows and texts that tie share a component; a null doc_id is never a component's
 id unless its component has no other; an empty table gives an empty result; other columns are not read.
 """
 
@@ -36,6 +36,8 @@ from .common import map_batches, remove, texts, written
 WIDTH, DISTANCE, SEGMENTS, BITS, SEED = 3, 3, 4, 16, 42
 #: Members of a key that one task compares.
 MEMBERS = 1024
+#: Copies from which a fingerprint is hot, and rows of hot ones up to which they are broadcast.
+HOT, BROADCAST_ROWS = 256, 1_000_000
 ONES = np.array([bin(x).count("1") for x in range(1 << BITS)], np.uint8)
 
 
@@ -215,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row of ``docs``."""
     spark = docs.sparkSession
     rows, _ = written(fingerprints(docs), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,11 +229,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     many = large_keys(found.where("key IS NOT NULL").select("key", "fp", "home"))
     joined = components(links.unionByName(many.select(F.col("fp").alias("a"), F.col("other").alias("b"))))
     remove(spark, path)
-    member = joined.join(distinct.withColumnRenamed("fp", "node"), "node")
+    member = joined.join(distinct.select(F.col("fp").alias("node"), "least"), "node")
     group = member.groupBy("root").agg(F.min("least").alias("component"))
     of = member.join(group, "root").select(F.col("node").alias("fp"), "component")
-    each = distinct.join(of, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    each, _ = written(distinct.join(of, "fp", "left").select("fp", "copies", F.coalesce("component", "least").alias("component_id")), "components")
+    # rows of a fingerprint with many copies meet it by broadcast, so that they never lie in one task
+    hot = each.where(F.col("copies") > HOT).select("fp", "component_id", F.lit(True).alias("hot"))
+    met = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "fp", "left")
+    cold = met.where("hot IS NULL").select("doc_id", "fp").join(each.where(F.col("copies") <= HOT).drop("copies"), "fp")
+    found = met.where("hot").select("doc_id", "fp", "component_id").unionByName(cold.select("doc_id", "fp", "component_id"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

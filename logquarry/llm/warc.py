@@ -6,16 +6,22 @@ response by WARC-Refers-To and to each other by WARC-Concurrent-To; both keep it
 digest; the metadata's fields hold the HTTP status and headers and whether the digests were right.
 Identifiers are derived from the response's, so reruns agree.
 
-Defined results: null html is an empty payload and a null url an empty target; a record that is not a
-whole response gives no derivatives; payloads of any length are kept whole; repeated rows give equal
-records; an empty table gives an empty result; other columns are not read.
+A payload is unwrapped first: chunks are joined, gzip and deflate are undone. HTML gives its text, other text types
+their own; a payload of another type, or in an encoding that cannot be undone, has no conversion record, and its
+metadata says so. A charset that is unknown, or is none of text, counts as UTF-8.
+
+Defined results: null html is an empty payload and a null url an empty target; a record that is null or not a
+whole response gives no derivatives, and nulls in place of what would be read from it; payloads of any length are
+kept whole; repeated and tied rows give equal records; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -93,14 +99,68 @@ def split_http(block: bytes) -> tuple[int, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in lines[1:])], payload
 
 
-def charset(headers: list[tuple[str, str]]) -> str:
-    kind = next((v for k, v in headers if k.lower() == "content-type"), "")
-    name = kind.lower().partition("charset=")[2].split(";")[0].strip(" \"'") or "utf-8"
+def header(headers: list[tuple[str, str]], name: str) -> str:
+    return next((v for k, v in headers if k.lower() == name), "").strip().lower()
+
+
+def decoded(payload: bytes, headers: list[tuple[str, str]]) -> str:
+    """The payload's characters by its declared charset."""
+    name = header(headers, "content-type").partition("charset=")[2].split(";")[0].strip(" \"'")
     try:
-        "".encode(name)
-    except LookupError:
-        return "utf-8"
-    return name
+        if name and codecs.lookup(name)._is_text_encoding:
+            return payload.decode(name, "replace")
+    except (LookupError, ValueError):  # no such charset, or one that does not decode
+        pass
+    return payload.decode("utf-8", "replace")
+
+
+def dechunked(payload: bytes) -> bytes | None:
+    """The body of a chunked message; None if it is none."""
+    out, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at)
+        size = payload[at:end].partition(b";")[0].strip()
+        if end < 0 or not size or size.strip(b"0123456789abcdefABCDEF"):
+            return None
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(payload[end + 2 : end + 2 + n])
+        if len(out[-1]) < n:
+            return None
+        at = end + 2 + n + 2
+
+
+def unwrapped(payload: bytes, headers: list[tuple[str, str]]) -> bytes | None:
+    """The payload without its transfer and content encodings; None if one of them cannot be undone."""
+    if "chunked" in header(headers, "transfer-encoding"):
+        # crawlers often store the body already joined and keep the header
+        joined = dechunked(payload)
+        payload = payload if joined is None else joined
+    for coding in reversed([c.strip() for c in header(headers, "content-encoding").split(",")]):
+        if coding in ("", "identity"):
+            continue
+        if coding not in ("gzip", "x-gzip", "deflate"):
+            return None
+        for bits in (47, -15):  # with a header, or a bare deflate stream
+            try:
+                payload = zlib.decompress(payload, bits)
+                break
+            except zlib.error:
+                continue
+        else:
+            return None
+    return payload
+
+
+def text_of(payload: bytes, headers: list[tuple[str, str]]) -> str | None:
+    """The text of a payload, None if it has none."""
+    kind = header(headers, "content-type").split(";")[0].strip()
+    body = unwrapped(payload, headers)
+    if body is None or not (kind in ("", "application/xhtml+xml") or kind.startswith("text/")):
+        return None
+    text = decoded(body, headers)
+    return plain_text(text) if kind in ("", "text/html", "application/xhtml+xml") else text
 
 
 def plain_text(html: str) -> str:
@@ -117,17 +177,18 @@ def derive(raw: bytes) -> list[tuple[str, bytes]]:
     own, target, date = source.get("WARC-Record-ID"), source.get("WARC-Target-URI"), source.get("WARC-Date")
     payload_digest = source.get("WARC-Payload-Digest") or digest(payload)
     ids = {kind: urn(kind, own) for kind in ("conversion", "metadata")}
-    linked = lambda kind, other: [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", own), ("WARC-Concurrent-To", ids[other]), ("WARC-Target-URI", target), ("WARC-Date", date)]
-    text = plain_text(payload.decode(charset(http), "replace")).encode()
+    found = text_of(payload, http)
+    text = (found or "").encode()
+    linked = lambda kind, other: [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", own), *([("WARC-Concurrent-To", ids[other])] if found is not None else []), ("WARC-Target-URI", target), ("WARC-Date", date)]
     conversion = write_record([*linked("conversion", "metadata"), ("WARC-Payload-Digest", digest(text)), ("Content-Type", "text/plain; charset=utf-8")], text)
     fields = [
         ("source-record-id", own), ("source-payload-digest", payload_digest), ("source-block-digest", source.get("WARC-Block-Digest")),
         ("payload-digest-valid", str(digest(payload) == payload_digest).lower()), ("block-digest-valid", str(source.get("WARC-Block-Digest") in ("", digest(source.block))).lower()),
-        ("source-length", str(len(payload))), ("text-length", str(len(text))), ("http-status", str(status)), *((f"http-header-{k.lower()}", v) for k, v in http),
+        ("source-length", str(len(payload))), ("text-extracted", str(found is not None).lower()), ("text-length", str(len(text))), ("http-status", str(status)), *((f"http-header-{k.lower()}", v) for k, v in http),
     ]
     body = "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields).encode()
     metadata = write_record([*linked("metadata", "conversion"), ("Content-Type", "application/warc-fields")], body)
-    return [("conversion", conversion), ("metadata", metadata)]
+    return [*([("conversion", conversion)] if found is not None else []), ("metadata", metadata)]
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -158,9 +219,10 @@ def record_digests(derived: DataFrame) -> DataFrame:
     names = {"record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "concurrent_to": "WARC-Concurrent-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest"}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [parse_record(r) for r in batch.column("warc").to_pylist()]
-        columns = [batch.column("page_id"), batch.column("type"), *(pa.array([r.get(h) for r in found], pa.string()) for h in names.values())]
-        columns += [pa.array([len(r.block) for r in found], pa.int64()), pa.array([r.block.decode() for r in found], pa.string()), pa.array([digest(r.block) == r.get("WARC-Block-Digest") for r in found])]
+        found = [parse_record(r) if r else None for r in batch.column("warc").to_pylist()]
+        each = lambda f, kind: pa.array([None if r is None else f(r) for r in found], kind)
+        columns = [batch.column("page_id"), batch.column("type"), *(each(lambda r, h=h: r.get(h), pa.string()) for h in names.values())]
+        columns += [each(lambda r: len(r.block), pa.int64()), each(lambda r: r.block.decode("utf-8", "replace"), pa.string()), each(lambda r: digest(r.block) == r.get("WARC-Block-Digest"), pa.bool_())]
         return pa.RecordBatch.from_arrays(columns, ["page_id", "type", *names, "content_length", "block", "digest_valid"])
 
     return map_batches(derived, "page_id long, type string, " + ", ".join(f"{n} string" for n in names) + ", content_length long, block string, digest_valid boolean", run)
