@@ -250,3 +250,14 @@ def test_line_templates(spark, odd):
 def test_threshold_is_infinite_without_labels(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.fit(odd, labels) == (None, math.inf)
+
+
+def test_threshold_is_of_least_error():
+    r = random.Random(14)
+    for _ in range(50):
+        clean, junk = [np.array([round(r.gauss(m, 0.1), 2) for _ in range(r.randint(1, 40))]) for m in (0.4, 0.7)]
+        error = lambda t, c=clean, j=junk: 10 * (c >= t).mean() + (j < t).mean()
+        t = quality.calibrated(clean, junk, 10.0)
+        assert error(t) <= min([error(x + d) for x in [*clean, *junk] for d in (-1e-6, 1e-6)] + [error(math.inf)]) + 1e-9
+    clean = np.r_[np.linspace(0.3, 0.6, 200), 0.9]
+    assert 0.6 < quality.calibrated(clean, np.full(50, 0.8), 10.0) < 0.8  # one odd good row among many
