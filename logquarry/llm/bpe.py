@@ -8,7 +8,7 @@ itself a token is taken whole, as the reference library does. Rows so long that
 would cost the square of their length (over LONG bytes) keep the same rounds on a heap.
 
 Defined results: a null text counts as the empty text, which has no tokens; a text of any length is
-encoded whole; repeated rows get equal results; an empty table gives an empty result; other columns are not read.
+encoded whole; pairs that tie in rank merge from the left; repeated rows get equal results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

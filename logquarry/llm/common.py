@@ -44,13 +44,17 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it again: later plans start from the files."""
+    """Write ``df`` as Parquet in the shared folder and read it again: later plans start from the files, which go when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(target)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that ``written`` made, through Hadoop so that any shared store works."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    fs.cancelDeleteOnExit(target)

@@ -8,7 +8,8 @@ documents end to end in a seeded order and takes as many blocks from the start,
 document is taken at most three times.
 
 Defined results: a null text has size 0; a null source is a source of its own; documents of size 0 take
-nothing; repeated rows count each for itself; an empty table gives an empty result; other columns are not read.
+nothing; texts of any length are counted whole; repeated rows count each for itself, rows that tie in id and size are
+laid in any order, which changes no sum; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -56,6 +56,47 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == expected
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    names = "doc_id long, text string, lang string, source string, n_chars long, _row long, _id long, template long, size long, copy long, fp long"
+    good = {i: prose(i, 70) for i in range(12)}
+    rows = [(i, t, "en", "a", len(t), *[7] * 6) for i, t in good.items()]
+    rows += [(0, good[0], "en", "a", len(good[0]), *[7] * 6), (1, prose(99, 70), None, None, None, *[7] * 6), (None, prose(50, 80), "en", None, None, *[None] * 6), (None, prose(51, 80), None, "a", 1, *[7] * 6)]
+    rows += [(20, None, None, None, None, *[7] * 6), (21, "", "en", "a", 0, *[7] * 6), (22, " \n", "en", "a", 2, *[7] * 6), (23, prose(60, 30000), "en", "b", 1, *[7] * 6)]
+    spark.createDataFrame([(i, 1, 0) for i in range(5)] + [(None, 0, 0), (20, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, names)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns and found.schema.simpleString() == docs.schema.simpleString(), name
+        docs = spark.createDataFrame(found.collect(), docs.schema)
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        if name == "near dedup":
+            kept = [r.doc_id for r in docs.collect()]
+            assert sorted(i for i in kept if i is not None) == [*range(12), 23] and kept.count(None) == 2
+    assert corpus_pipeline.tokenize(spark, docs, str(tmp_path)).count() == docs.count() > 0
+
+
+def test_contract_columns_match_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    words = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+    rows = con.execute(f"""SELECT doc_id, len({words}), coalesce(list_sum(list_transform({words}, lambda w: length(w))), 0), len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')),
+      strlen(coalesce(text, '')), greatest(1, ceil(strlen(coalesce(text, '')) / 64)) * 64 FROM documents ORDER BY doc_id""").fetchall()
+    a = {r.doc_id: r for r in QUERIES["op1_quality_rules"](spark, folder).collect()}
+    b = {r.doc_id: r for r in QUERIES["op3_flac"](spark, folder).collect()}
+    c = {r.doc_id: r for r in QUERIES["op9_mixing"](spark, folder).collect()}
+    assert len(rows) == len(a) == len(b) == len(c)
+    for i, n_words, chars, symbols, n_bytes, payload in rows:
+        assert (a[i].n_words, a[i].word_chars, a[i].n_symbols) == (n_words, chars, symbols)
+        assert (b[i].n_bytes, b[i].payload_bytes) == (n_bytes, payload) and c[i].size == n_words
+    sizes = dict(con.execute(f"SELECT source, sum(len({words})) FROM documents GROUP BY source").fetchall())
+    sources = dict(con.execute("SELECT doc_id, source FROM documents").fetchall())
+    assert all(c[i].source_size == sizes[sources[i]] for i in c)
+
+
 def test_every_operator_has_a_query():
     import __spark_entry__ as contract
 
