@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -98,9 +99,9 @@ class BytePairEncoder:
         self.start = self.length = np.zeros(0, np.int64)
 
     @classmethod
-    def from_file(cls, path: str, pattern: str) -> BytePairEncoder:
-        with open(path, "rb") as f:
-            return cls({base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}, pattern)
+    def from_ranks(cls, ranks: bytes, pattern: str) -> BytePairEncoder:
+        """ranks: the contents of a rank file."""
+        return cls({base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks.splitlines())}, pattern)
 
     def merge_matrix(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of pieces of similar length, one piece after another, and how many each has."""
@@ -202,21 +203,22 @@ class BytePairEncoder:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 
 
-_made: dict[tuple[str, str], BytePairEncoder] = {}
+_made: dict[tuple[bytes, str], BytePairEncoder] = {}
 
 
-def encoder(path: str, pattern: str) -> BytePairEncoder:
-    """The worker's encoder for this rank file."""
-    if (path, pattern) not in _made:
-        _made[path, pattern] = BytePairEncoder.from_file(path, pattern)
-    return _made[path, pattern]
+def encoder(ranks: bytes, pattern: str) -> BytePairEncoder:
+    """The worker's encoder for these ranks."""
+    if (ranks, pattern) not in _made:
+        _made[ranks, pattern] = BytePairEncoder.from_ranks(ranks, pattern)
+    return _made[ranks, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and the ids of every whole text. path: a rank file that every executor can open."""
+    """doc_id and the ids of every whole text. path: a rank file on the driver, whose contents go to the executors with the tasks."""
+    ranks = Path(path).read_bytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [x.tolist() for x in encoder(path, pattern).encode_batch(texts(batch))]
+        ids = [x.tolist() for x in encoder(ranks, pattern).encode_batch(texts(batch))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return map_batches(docs.select("doc_id", "text"), "doc_id long, ids array<int>", run)
@@ -224,9 +226,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the text of ``ids``; null ids give the empty text, bytes that are not UTF-8 the replacement character."""
+    ranks = Path(path).read_bytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = encoder(path, pattern)
+        own = encoder(ranks, pattern)
         got = [own.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(got, pa.string())], ["doc_id", "text"])
 
@@ -235,9 +238,10 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, the digest of the ids and that of the bytes they decode to: encoded and decoded in one pass."""
+    ranks = Path(path).read_bytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = encoder(path, pattern)
+        own = encoder(ranks, pattern)
         ids = own.encode_batch(texts(batch))
         columns = [
             batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()),

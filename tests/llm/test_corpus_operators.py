@@ -201,7 +201,7 @@ def test_bpe_equals_the_reference_library(spark, odd):
     import tiktoken
 
     path, pattern = tokenizer()
-    own = bpe.encoder(path, pattern)
+    own = bpe.encoder(open(path, "rb").read(), pattern)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(4)
