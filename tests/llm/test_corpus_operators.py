@@ -261,3 +261,33 @@ def test_threshold_is_of_least_error():
         assert error(t) <= min([error(x + d) for x in [*clean, *junk] for d in (-1e-6, 1e-6)] + [error(math.inf)]) + 1e-9
     clean = np.r_[np.linspace(0.3, 0.6, 200), 0.9]
     assert 0.6 < quality.calibrated(clean, np.full(50, 0.8), 10.0) < 0.8  # one odd good row among many
+
+
+def test_all_labelled_documents_count(spark):
+    r = random.Random(15)
+    rows = [(i, " ".join([*(f"w{k}" for k in range(60)), *["a#"] * (i % 3)]), "s") for i in range(5000)]
+    docs = docs_of(spark, [*rows, rows[7], (9000, "too short", "s")])
+    labels = spark.createDataFrame([(i, int(r.random() < 0.8), 0) for i in [*range(5000), 9000, 9001]], "doc_id long, quality int, toxic int")
+    known = quality.labelled(quality.measured(docs), labels)
+    assert known.count() == 5000 and known.where("good").count() == labels.where("quality > 0 AND doc_id < 5000").count()
+    # each tree draws its own rows from all that may grow it
+    drawn = quality.subsamples(known, 5000, 20, 50, 3)
+    ids = {q.doc_id: q.features for q in known.collect()}
+    every = np.array(sorted(ids))
+    for t, found in enumerate(drawn):
+        first = every[np.argsort(quality.ranks(every, t, 3))[:50]]
+        assert found.tolist() == [ids[i] for i in first.tolist()]
+    # an only bad row that looks odd is found among thousands, whatever its hash
+    for i in (1, 2500, 4999):
+        bad = docs_of(spark, [(j, t + " ###" * 60 * (j == i), s) for j, t, s in rows])
+        one = spark.createDataFrame([(j, int(j != i), 0) for j in range(5000)], "doc_id long, quality int, toxic int")
+        forest, threshold = quality.fit(bad, one, trees=16)
+        assert forest and forest.score(np.array([quality.statistics(rows[0][1] + " ###" * 60)[1]]))[0] >= threshold
+
+
+def test_threshold_over_a_table_is_that_over_arrays(spark):
+    r = random.Random(16)
+    for digits, n in ((2, 300), (9, 300), (1, 1)):
+        clean, junk = [np.array([min(1.0, abs(round(r.gauss(m, 0.15), digits))) for _ in range(n)]) for m in (0.4, 0.6)]
+        scored = spark.createDataFrame([(float(x), True) for x in clean] + [(float(x), False) for x in junk], "score double, good boolean")
+        assert quality.calibrated_over(scored, 3.0) == quality.calibrated(clean, junk, 3.0)
