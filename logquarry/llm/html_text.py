@@ -9,11 +9,11 @@ undecided parts they go and the unique runs stay; a suspect block goes if more t
 article's own paragraphs stay though other pages of the host quote them, since they are its text. Pages with the
 same stream count as one page; of pages that are nearly the same and have no article, what differs stays.
 
-No task holds a whole large host. If on no page of a large host the text depends on repeats, its pages are dealt
-in shards of about PAGES, an array for each that counts the repeats in it. If on some page it does, the suffixes
-are dealt instead, by the hash of their first RUN tokens: those that share so many meet whatever their pages, and
-those pages get back the shared ones, so none is missed and the text does not depend on PAGES; n_repeated, which
-only reports, is null for the others there.
+No task holds a whole large host. Its pages are dealt by their content in shards of about PAGES pages or CHARS characters,
+an array for each. What shards share is found in two rounds. Each shard sends 32 bits of the anchors of its runs (of a
+run's substrings of ANCHOR tokens the one of least hash, so that equal runs have equal anchors) and gets back those that
+another shard has too; then it sends its runs at these anchors, as 128-bit hashes, and gets back those that another shard
+has in another content. So all results cover the whole host whatever its size: PAGES and CHARS only say how it is dealt.
 
 Defined results: null html counts as the empty page, whose text is empty; a null url is a host of its
 own; cut-off markup is read as far as it goes; texts of any length are kept whole; repeated rows get
@@ -24,9 +24,9 @@ other columns are not read.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +36,15 @@ from xxhash import xxh64_intdigest
 
 from .common import bounded_batches, map_batches, texts, written
 
-#: Tokens of the shortest substring that counts as repeated, pages in a shard, and tokens sorted at once.
-RUN, PAGES, TOKENS = 8, 512, 1_000_000
-#: Large hosts, of about a hundred bytes each, up to which their numbers of shards are broadcast; beyond, they are joined by shuffling.
+#: Tokens of the shortest substring that counts as repeated, tokens of its anchor, and pages and characters in a shard.
+RUN, ANCHOR, PAGES, CHARS = 8, 5, 512, 6_000_000
+#: Large hosts, and contents with many copies, of about a hundred bytes each, up to which they are broadcast; beyond, they are joined by shuffling.
 BROADCAST_HOSTS = 50_000
 ARTICLE, UNDECIDED, SUSPECT = 0, 1, 2
 #: The result's rows.
 ROWS = "page_id long, url string, host string, text string, n_chars long, n_repeated long, n_removed long"
+#: What shards send to one another: numbers of a host's bucket that a shard has.
+PARTS = "home string, bucket long, shard long, data binary"
 
 RAW = "script style noscript template textarea title iframe svg math object select noframes noembed xmp".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -188,26 +190,75 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, content: np.ndarray, g
     return np.cumsum(change[:-1]) > 0
 
 
-def main_texts(groups: list[tuple], zones: list[list[int]], blocks: list[list[str]]) -> list[tuple[str, int, int]]:
-    """Text, repeated tokens and removed tokens of each page."""
-    words = [[b.split() for b in page] for page in blocks]
-    counts = np.array([sum(map(len, page)) for page in words], np.int64)
-    flat = [w for page in words for block in page for w in block]
-    known: dict[str, int] = {}
-    tokens = np.fromiter((known.setdefault(w, len(known)) for w in flat), np.int64, len(flat))
-    pages = np.arange(len(blocks))
-    hashes = np.array([xxh64_intdigest("\n".join(page)) for page in blocks], np.uint64)
-    content = np.unique(hashes, return_inverse=True)[1]
+def content_of(blocks: list[str]) -> int:
+    """A page's content as a number: pages that agree in it are copies."""
+    return xxh64_intdigest("\n".join(blocks)) - (1 << 63)
+
+
+def mixed(values: np.ndarray, length: int, starts: np.ndarray, factor: int) -> np.ndarray:
+    """64-bit hashes of the ``length`` values from each start on."""
+    h = np.zeros(len(starts), np.uint64)
+    for k in range(length):
+        h = (h ^ values[starts + k]) * np.uint64(factor)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class Flow:
+    """The tokens of pages end to end."""
+
+    def __init__(self, blocks: list[list[str]]) -> None:
+        self.words = [[b.split() for b in page] for page in blocks]
+        self.page = np.repeat(np.arange(len(blocks)), np.array([sum(map(len, page)) for page in self.words], np.int64))
+        self.known: dict[str, int] = {}
+        flat = (w for page in self.words for block in page for w in block)
+        self.tokens = np.fromiter((self.known.setdefault(w, len(self.known)) for w in flat), np.int64, len(self.page))
+        self._hashes: np.ndarray | None = None
+
+    def hashes(self) -> np.ndarray:
+        if self._hashes is None:
+            self._hashes = np.array([xxh64_intdigest(w) for w in self.known], np.uint64)[self.tokens]
+        return self._hashes
+
+    def starts(self) -> np.ndarray:
+        """Where RUN tokens of one page begin."""
+        n = len(self.page) - RUN + 1
+        return np.flatnonzero(self.page[RUN - 1 :] == self.page[:n]) if n > 0 else np.zeros(0, np.int64)
+
+    def runs(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The RUN tokens from each start on, as 128-bit hashes in two halves."""
+        return mixed(self.hashes(), RUN, starts, 0x9E3779B97F4A7C15), mixed(self.hashes(), RUN, starts, 0xC2B2AE3D27D4EB4F)
+
+    def anchors(self, starts: np.ndarray, buckets: int) -> np.ndarray:
+        """Bucket and 32 bits of each run's anchor, of its substrings of ANCHOR tokens the one of least hash: equal runs have equal anchors."""
+        n = len(self.page) - ANCHOR + 1
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        parts = mixed(self.hashes(), ANCHOR, np.arange(n), 0x165667B19E3779F9)
+        least = parts[starts]
+        for k in range(1, RUN - ANCHOR + 1):
+            least = np.minimum(least, parts[starts + k])
+        least = least * np.uint64(0x9E3779B97F4A7C15)
+        least ^= least >> np.uint64(32)
+        return (least >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | least & np.uint64(0xFFFFFFFF)
+
+
+def main_texts(groups: list[tuple], zones: list[list[int]], blocks: list[list[str]], met: np.ndarray | None = None) -> list[tuple[str, int, int]]:
+    """Text, repeated tokens and removed tokens of each page; met: both halves of the runs that these pages share with others of their group."""
+    flow = Flow(blocks)
+    counts = np.bincount(flow.page, minlength=len(blocks))
+    content = np.unique(np.array([content_of(page) for page in blocks], np.int64), return_inverse=True)[1]
     keys: dict[tuple, int] = {}
     group = np.array([keys.setdefault(g, len(keys)) for g in groups], np.int64)
-    repeated = repeated_tokens(tokens, np.repeat(pages, counts), np.repeat(content, counts), np.repeat(group, counts))
+    repeated = repeated_tokens(flow.tokens, flow.page, np.repeat(content, counts), np.repeat(group, counts))
+    if met is not None:
+        starts = flow.starts()
+        high, low = flow.runs(starts)
+        found = starts[np.isin(high, met[0]) & np.isin(low, met[1])]
+        for k in range(RUN):
+            repeated[found + k] = True
     ends = np.cumsum(counts).tolist()
-    return [kept_text(page, zone, repeated[a:b]) for page, zone, a, b in zip(words, zones, [0, *ends[:-1]], ends, strict=True)]
-
-
-def is_open(zones: list[int]) -> bool:
-    """Whether a page's text depends on what other pages repeat: it has no article, or something suspect in it."""
-    return SUSPECT in zones or (UNDECIDED in zones and ARTICLE not in zones)
+    return [kept_text(page, zone, repeated[a:b]) for page, zone, a, b in zip(flow.words, zones, [0, *ends[:-1]], ends, strict=True)]
 
 
 def kept_text(page: list[list[str]], zone: list[int], own: np.ndarray) -> tuple[str, int, int]:
@@ -229,106 +280,193 @@ def kept_text(page: list[list[str]], zone: list[int], own: np.ndarray) -> tuple[
     return " ".join(kept), int(own.sum()), removed
 
 
-def runs_of(words: list[str]) -> np.ndarray:
-    """Hashes of the first RUN tokens of every suffix that has so many."""
-    return np.array([xxh64_intdigest(" ".join(words[i : i + RUN])) for i in range(len(words) - RUN + 1)], np.uint64).view(np.int64)
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def shared_runs(whole: DataFrame) -> DataFrame:
-    """host, content and ``shared``, the runs of each open page that another content of its host has too."""
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for host, content, zones, blocks in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "zones", "blocks")), strict=True):
-                found = np.unique(runs_of([w for b in blocks for w in b.split()]))
-                columns = [pa.repeat(pa.scalar(v, t), len(found)) for v, t in ((host, pa.string()), (content, pa.int64()), (is_open(zones), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found)], ["host", "content", "open", "run"])
 
-    suffixes = whole.select("host", "content", "zones", "blocks").mapInArrow(run, "host string, content long, open boolean, run long")
-    met = suffixes.groupBy("host", "run").agg(F.min("content").alias("low"), F.max("content").alias("high"), F.max("open").alias("wanted"))
-    shared = met.where("wanted AND low <> high").select("host", "run")
-    return suffixes.where("open").join(shared, ["host", "run"]).groupBy("host", "content").agg(F.collect_set("run").alias("shared"))
+def packed_page(page: list[tuple[int, str]]) -> bytes:
+    return squeezed("\n".join(["".join(str(z) for z, _ in page), *(t for _, t in page)]).encode())  # no block has a line end
 
 
-def open_hosts_text(blocks: DataFrame) -> DataFrame:
-    """The rows of ``main_text`` for pages of large hosts with open pages, whose suffixes are dealt."""
-    whole, _ = written(blocks.withColumn("content", F.xxhash64(F.array_join("blocks", "\n"))), "open-hosts")
+def unpacked_page(data: bytes) -> tuple[list[int], list[str]]:
+    zones, *blocks = unsqueezed(data).decode().split("\n")
+    return [int(z) for z in zones], blocks
 
-    def text(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
-        for zones, blocks, shared in zip(*(batch.column(c).to_pylist() for c in ("zones", "blocks", "shared")), strict=True):
-            words = [b.split() for b in blocks]
-            own = np.zeros(sum(map(len, words)), bool)
-            if shared:
-                starts = np.flatnonzero(np.isin(runs_of([w for b in words for w in b]), np.array(shared, np.int64)))
-                for k in range(RUN):
-                    own[starts + k] = True
-            kept, repeated, removed = kept_text(words, zones, own)
-            found.append((kept, len(kept), repeated if is_open(zones) else None, removed))
-        columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *columns], ["page_id", "url", "host", "text", "n_chars", "n_repeated", "n_removed"])
 
-    joined = whole.join(shared_runs(whole), ["host", "content"], "left").select("page_id", "url", "host", "zones", "blocks", "shared")
-    return map_batches(joined, ROWS, text)
+def packed_ascending(values: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as differences, byte by byte."""
+    return squeezed(np.diff(values.astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, zones and blocks of every page."""
+def unpacked_ascending(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(unsqueezed(data), np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(np.uint32).ravel(), dtype=np.uint64)
+
+
+def packed_columns(*columns: np.ndarray) -> bytes:
+    return squeezed(b"".join(c.astype(np.uint64).tobytes() for c in columns))
+
+
+def unpacked_columns(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(unsqueezed(data), np.uint64).reshape(n, -1)
+
+
+def buckets_of(shards: int) -> int:
+    """Parts of a host's runs, so many that neither their number for a shard nor the runs in one grow faster than the root of the shards."""
+    return 4 * math.ceil(math.sqrt(shards))
+
+
+def parts_table(home: str, shard: int, found: list[tuple[int, int | None, bytes]]) -> pa.Table:
+    """Rows of PARTS: (bucket, shard or None for the given one, data)."""
+    n = len(found)
+    columns = [pa.array([home] * n, pa.string()), pa.array([b for b, _, _ in found], pa.int64()), pa.array([shard if s is None else s for _, s, _ in found], pa.int64()), pa.array([d for _, _, d in found], pa.binary())]
+    return pa.Table.from_arrays(columns, ["home", "bucket", "shard", "data"])
+
+
+def by_bucket(buckets: np.ndarray) -> list[tuple[int, slice]]:
+    """Each value of an ascending array and where it is."""
+    begins = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(buckets) else np.zeros(0, np.int64)
+    return [(int(buckets[a]), slice(a, b)) for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(buckets)], strict=True)] if len(buckets) else []
+
+
+def first(table: pa.Table, column: str):
+    return table.column(column)[0].as_py()
+
+
+def shard_anchors(shard: pa.Table) -> pa.Table:
+    """The anchors of a shard of a large host, in PARTS."""
+    home, number = first(shard, "home"), first(shard, "shard")
+    if not home:
+        return parts_table("", 0, [])
+    flow = Flow([unpacked_page(d)[1] for d in distinct_pages(shard)[0]])
+    found = np.unique(flow.anchors(flow.starts(), buckets_of(first(shard, "shards"))))
+    return parts_table(home, number, [(b, None, packed_ascending(found[at] & np.uint64(0xFFFFFFFF))) for b, at in by_bucket(found >> np.uint64(32))])
+
+
+def distinct_pages(shard: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """One page of each content, the contents, and whether other shards have them too."""
+    contents = shard.column("content").to_numpy()
+    kept, at = np.unique(contents, return_index=True)
+    data = shard.column("data")
+    return [data[k].as_py() for k in at.tolist()], kept, shard.column("hot").to_numpy()[at]
+
+
+def met_anchors(bucket: pa.Table) -> pa.Table:
+    """Of a bucket's anchors, for each shard those that another shard has too."""
+    shards = bucket.column("shard").to_pylist()
+    own = [unpacked_ascending(d) for d in bucket.column("data").to_pylist()]
+    values, counts = np.unique(np.concatenate(own), return_counts=True)
+    met = values[counts > 1]
+    kept = [(s, v[np.isin(v, met, assume_unique=True)]) for s, v in zip(shards, own, strict=True)]
+    number = first(bucket, "bucket")
+    return parts_table(first(bucket, "home"), 0, [(number, s, packed_ascending(v)) for s, v in kept if len(v)])
+
+
+def shard_runs(shard: pa.Table, anchors: pa.Table) -> pa.Table:
+    """The shard's runs at these anchors in PARTS: their halves, and the content if they are in but one that other shards have too, else 0."""
+    if not anchors.num_rows or not shard.num_rows:
+        return parts_table("", 0, [])
+    home, number, buckets = first(shard, "home"), first(shard, "shard"), buckets_of(first(shard, "shards"))
+    wanted = np.concatenate([np.uint64(b << 32) | unpacked_ascending(d) for b, d in zip(anchors.column("bucket").to_pylist(), anchors.column("data").to_pylist(), strict=True)])
+    data, contents, hot = distinct_pages(shard)
+    flow = Flow([unpacked_page(d)[1] for d in data])
+    starts = flow.starts()
+    starts = starts[np.isin(flow.anchors(starts, buckets), wanted)]
+    if not len(starts):
+        return parts_table("", 0, [])
+    (high, low), page = flow.runs(starts), flow.page[starts]
+    order = np.lexsort((page, low, high, high % np.uint64(buckets)))
+    high, low, page = high[order], low[order], page[order]
+    begins = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+    ends = np.r_[begins[1:], len(high)] - 1
+    alone = (page[begins] == page[ends]) & hot[page[begins]]
+    mark = np.where(alone, np.maximum(contents[page[begins]].astype(np.int64).view(np.uint64), np.uint64(1)), np.uint64(0))
+    high, low = high[begins], low[begins]
+    return parts_table(home, number, [(b, None, packed_columns(high[at], low[at], mark[at])) for b, at in by_bucket(high % np.uint64(buckets))])
+
+
+def met_runs(bucket: pa.Table) -> pa.Table:
+    """Of a bucket's runs, for each shard those that another shard has in another content."""
+    shards = bucket.column("shard").to_pylist()
+    own = [unpacked_columns(d, 3) for d in bucket.column("data").to_pylist()]
+    high, low, mark = np.concatenate(own, axis=1)
+    order = np.lexsort((mark, low, high))
+    h, l, m = high[order], low[order], mark[order]
+    begins = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (l[1:] != l[:-1])])
+    ends = np.r_[begins[1:], len(h)] - 1
+    met = np.zeros(len(h), bool)
+    met[order] = np.repeat((ends > begins) & ((m[begins] == 0) | (m[begins] != m[ends])), ends - begins + 1)
+    found, k, number = [], 0, first(bucket, "bucket")
+    for s, columns in zip(shards, own, strict=True):
+        kept = columns[:2, met[k : k + columns.shape[1]]]
+        k += columns.shape[1]
+        if kept.shape[1]:
+            found.append((number, s, packed_columns(*kept)))
+    return parts_table(first(bucket, "home"), 0, found)
+
+
+def shard_texts(shard: pa.Table, runs: pa.Table | None) -> pa.Table:
+    """The rows of ``main_text`` for a shard whose pages share ``runs`` with other shards."""
+    pages = [unpacked_page(d) for d in shard.column("data").to_pylist()]
+    met = np.concatenate([unpacked_columns(d, 2) for d in runs.column("data").to_pylist()], axis=1) if runs is not None and runs.num_rows else None
+    found = main_texts([(h,) for h in shard.column("host").to_pylist()], [z for z, _ in pages], [b for _, b in pages], met)
+    made = [pa.array([t for t, _, _ in found], pa.string()), pa.array([len(t) for t, _, _ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int64())]
+    return pa.Table.from_arrays([*(shard.column(c) for c in ("page_id", "url", "host")), *made], ["page_id", "url", "host", "text", "n_chars", "n_repeated", "n_removed"])
+
+
+def page_contents(pages: DataFrame) -> DataFrame:
+    """host, content and number of characters of every page."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [read_page(p) for p in texts(batch, "html")]
-        urls = batch.column("url").to_pylist()
-        columns = [
-            batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array([host_of(u) for u in urls], pa.string()),
-            pa.array([[z for z, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[t for _, t in f] for f in found], pa.list_(pa.string())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "zones", "blocks"])
+        hosts = [host_of(u) for u in batch.column("url").to_pylist()]
+        blocks = [[t for _, t in read_page(p)] for p in texts(batch, "html")]
+        columns = [pa.array(hosts, pa.string()), pa.array([content_of(b) for b in blocks], pa.int64()), pa.array([sum(map(len, b)) for b in blocks], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["host", "content", "chars"])
 
-    return map_batches(pages.select("page_id", "url", "html"), "page_id long, url string, host string, zones array<int>, blocks array<string>", run)
+    return map_batches(pages.select("url", "html"), "host string, content long, chars long", run)
 
 
-def host_counts(pages: DataFrame) -> DataFrame:
-    """host, its number of pages and whether one of them is open."""
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, content and the packed zones and blocks of every page."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts = pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string())
-        return pa.RecordBatch.from_arrays([hosts, pa.array([is_open([z for z, _ in read_page(p)]) for p in texts(batch, "html")], pa.bool_())], ["host", "open"])
+        found = [read_page(p) for p in texts(batch, "html")]
+        columns = [
+            batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string()),
+            pa.array([content_of([t for _, t in f]) for f in found], pa.int64()), pa.array([packed_page(f) for f in found], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "content", "data"])
 
-    return map_batches(pages.select("url", "html"), "host string, open boolean", run).groupBy("host").agg(F.count("*").alias("pages"), F.max("open").alias("open"))
+    return map_batches(pages.select("page_id", "url", "html"), "page_id long, url string, host string, content long, data binary", run)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, host, and the numbers of repeated and removed tokens of every page."""
     bounded_batches(pages.sparkSession)
-    large = host_counts(pages).where(F.col("pages") > PAGES)
-    shards, _ = written(large.select("host", "open", F.ceil(F.col("pages") / PAGES).alias("shards")), "shards")
-    # of a checked number of large hosts the shards are broadcast, so that texts are shuffled but once
-    joined = page_blocks(pages).join(F.broadcast(shards) if shards.count() <= BROADCAST_HOSTS else shards, "host", "left")
-    open_ = F.coalesce("open", F.lit(False))
-    dealt = joined.where(~open_).drop("open")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1)))).drop("shards")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def done() -> pa.RecordBatch:
-            found = main_texts([r[2:4] for r in held], [r[4] for r in held], [r[5] for r in held])
-            kinds = {"page_id": pa.int64(), "url": pa.string(), "host": pa.string(), "text": pa.string(), "n_chars": pa.int64(), "n_repeated": pa.int64(), "n_removed": pa.int64()}
-            rows = [(r[0], r[1], r[2], t, len(t), a, b) for r, (t, a, b) in zip(held, found, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "host", "shard", "zones", "blocks")]
-            for row in zip(*columns, strict=True):
-                if held and row[2:4] != held[-1][2:4] and size > TOKENS:
-                    yield done()
-                    held, size = [], 0
-                held.append(row)
-                size += sum(len(b) for b in row[5]) // 6
-        if held:
-            yield done()
-
-    sorted_ = dealt.repartition("host", "shard").sortWithinPartitions("host", "shard").select("page_id", "url", "host", "shard", "zones", "blocks")
-    found = sorted_.mapInArrow(run, ROWS)
-    return found.unionByName(open_hosts_text(joined.where(open_).drop("open", "shards"))) if shards.where("open").limit(1).count() else found
+    shards_of = F.greatest(F.col("pages") / PAGES, F.col("chars") / CHARS)
+    counted, _ = written(page_contents(pages).groupBy("host", "content").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars")), "contents")
+    hosts = counted.groupBy("host").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
+    large, _ = written(hosts.where(shards_of > 1).select("host", F.ceil(shards_of).alias("shards")), "shards")
+    hot, _ = written(counted.where(shards_of > 1).select("host", "content", F.ceil(shards_of).alias("parts")), "hot")
+    n_large, n_hot = large.count(), hot.count()
+    small = int(hosts.where(shards_of <= 1).agg(F.sum(shards_of)).first()[0] or 0) + 1  # shards of whole hosts
+    # of checked numbers of large hosts and hot contents the tables are broadcast, so that texts are shuffled but once
+    joined = page_blocks(pages).join(F.broadcast(large) if n_large <= BROADCAST_HOSTS else large, "host", "left")
+    joined = joined.join(F.broadcast(hot) if n_hot <= BROADCAST_HOSTS else hot, ["host", "content"], "left")
+    among = F.pmod(F.xxhash64("content", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))), "shards")
+    dealt = joined.select(
+        F.when(F.col("shards").isNull(), "").otherwise(F.concat(F.lit("h"), "host")).alias("home"),
+        F.when(F.col("shards").isNull(), F.pmod(F.xxhash64("host"), F.lit(small))).otherwise(among).alias("shard"),
+        F.coalesce("shards", F.lit(1)).alias("shards"), F.col("parts").isNotNull().alias("hot"), "page_id", "url", "host", "content", "data",
+    )
+    # every step below groups the same rows by the same columns, so Spark shuffles the texts once and reads them again
+    shards = dealt.groupBy("home", "shard")
+    if not n_large:
+        return shards.applyInArrow(lambda shard: shard_texts(shard, None), ROWS)
+    anchors = shards.applyInArrow(shard_anchors, PARTS).groupBy("home", "bucket").applyInArrow(met_anchors, PARTS)
+    runs = shards.cogroup(anchors.groupBy("home", "shard")).applyInArrow(shard_runs, PARTS).groupBy("home", "bucket").applyInArrow(met_runs, PARTS)
+    return shards.cogroup(runs.groupBy("home", "shard")).applyInArrow(shard_texts, ROWS)

@@ -261,6 +261,37 @@ def test_a_run_on_two_pages_of_a_large_host_is_seen(spark, monkeypatch):
     assert all(found[i].n_removed == 10 and shared[i // 2] not in found[i].text and len(found[i].text.split()) == 30 for i in range(40))
 
 
+def test_all_columns_cover_the_host_whatever_its_size(spark, monkeypatch):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(9))
+    own = lambda n: " ".join(word() for _ in range(n))
+    pairs, hot = [own(10) for _ in range(20)], f"<article><p>{own(20)}</p></article>"
+    rows = [(i, f"http://h.org/{i}", f"<article><p>{own(30)}</p><p>{pairs[i // 2]}</p></article>") for i in range(40)]  # each run on two pages alone
+    rows += [(100 + i, f"http://h.org/c{i}", hot) for i in range(30)]  # copies share nothing with another content
+    rows += [(200, "http://h.org/open", f"<p>{own(12)}</p><p>{pairs[0]}</p>"), (201, "http://h.org/short", "<p>few words</p>"), (202, "http://h.org/none", "")]
+    rows += [(300 + i, f"http://g{i % 7}.org/", f"<p>{own(9)}</p><p>{pairs[1]}</p>") for i in range(14)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit, most in (("PAGES", 1), ("PAGES", 4), ("PAGES", 512), ("CHARS", 300)):
+        monkeypatch.setattr(html_text, limit, most)
+        found = {x.page_id: x for x in html_text.main_text(pages).collect()}
+        assert len(found) == len(rows)
+        assert [found[i].n_repeated for i in range(40)] == [10] * 40 and all(found[i].n_removed == 0 for i in range(40))
+        assert {(found[100 + i].n_repeated, found[100 + i].n_chars) for i in range(30)} == {(0, len(hot) - 26)}
+        assert (found[200].n_repeated, found[200].n_removed, len(found[200].text.split())) == (10, 10, 12)
+        assert (found[201].text, found[201].n_repeated, found[202].text, found[202].n_repeated) == ("few words", 0, "", 0)
+        assert all((found[300 + i].n_repeated, len(found[300 + i].text.split())) == (10, 9) for i in range(14))
+
+
+def test_runs_of_a_content_in_many_shards_are_shared_only_with_other_contents(spark, monkeypatch):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows = [(i, f"http://h.org/{i}", f"<p>{a}</p><p>{b}</p>") for i in range(40)] + [(50 + i, f"http://h.org/{i}", f"<p>{c}</p><p>{b}</p>") for i in range(40)] + [(99, "http://h.org/", f"<p>{c}</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(html_text, "PAGES", 4)
+    found = html_text.main_text(pages).collect()
+    assert {(r.page_id // 50, r.text, r.n_repeated, r.n_removed) for r in found if r.page_id != 99} == {(0, a, 12, 12), (1, "", 24, 24)}
+    assert [(r.text, r.n_repeated) for r in found if r.page_id == 99] == [("", 12)]
+
+
 def test_language_of_held_out_pages(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     half = documents.where("doc_id % 2 = 1")
